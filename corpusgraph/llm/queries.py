@@ -8,25 +8,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgraph.llm.bpe import encoding_digests
+from corpusgraph.llm.chat import rotate
 from corpusgraph.llm.decontaminate import contamination
+from corpusgraph.llm.html_text import extract_text
 from corpusgraph.llm.near_dup import near_duplicates
+from corpusgraph.llm.pii import personal_data_digests
 from corpusgraph.llm.quality import quality
 from corpusgraph.llm.secrets import secret_digests
 from corpusgraph.llm.token_lengths import token_length_report
+from corpusgraph.llm.warc import archive_round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(_table(spark, sf_dir, "documents"))
 
 
+def op3_html_text_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op4_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op5_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data_digests(_table(spark, sf_dir, "documents"))
+
+
+def op6_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rotate(_table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("masks", lambda m: F.concat_ws(":", m["start"].cast("string"), m["stop"].cast("string"))), ",")
+    return out.withColumn("masks", spans)
+
+
 def op7_token_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_length_report(_table(spark, sf_dir, "documents"))
 
@@ -45,7 +67,60 @@ def op10_token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_secret_ownership, op4_minhash_near_dup, op7_token_length_histogram, op8_bpe_trie, op9_decontamination, op10_token_fertility)
+    f.__name__: f
+    for f in (
+        op1_warc_segments, op2_secret_ownership, op3_html_text_ratio, op4_minhash_near_dup, op5_pii_bootstrap,
+        op6_chat_rotation, op7_token_length_histogram, op8_bpe_trie, op9_decontamination, op10_token_fertility,
+    )
+}
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: SQL for the operators that it can express. Tokenisers (7, 8, 10), the parser's events (3), the
+#: spans of the bootstrap (5) and of the ownership counts (2) are tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc_segments": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+             g AS (SELECT d, max(page_id) AS m FROM p WHERE n >= 1000 GROUP BY d HAVING count(*) > 1)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+               CASE WHEN m IS NOT NULL AND page_id IS DISTINCT FROM m THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM m THEN m END AS refers_to
+        FROM p LEFT JOIN g ON p.d = g.d""",
+    "op4_minhash_near_dup": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(ws[k : k + 3], ' ') AS g
+              FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS k FROM w WHERE len(ws) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+        e AS (SELECT u, v FROM common JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * k >= 80 * (x.n + y.n - k)),
+        both_ways AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+        reach AS (SELECT doc_id AS u, doc_id AS r FROM documents UNION SELECT both_ways.v, r FROM reach JOIN both_ways ON both_ways.u = reach.u)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+        FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+        JOIN (SELECT u, min(r) AS component_id FROM reach GROUP BY u) c ON c.u = d.doc_id""",
+    "op6_chat_rotation": """
+        WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text, turn // 64 AS segment FROM conversations),
+        who AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+        p AS (SELECT t.conv_id, perspective, segment, turn, speaker, text, speaker = perspective AS mine,
+                     '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || speaker END || chr(10) AS head,
+                     text || '<|im_end|>' || chr(10) AS body
+              FROM t JOIN who ON t.conv_id = who.conv_id),
+        o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, segment ORDER BY turn, speaker, text ROWS UNBOUNDED PRECEDING) AS stop FROM p)
+        SELECT conv_id, perspective, segment, count(*) AS n_turns, count(*) FILTER (mine) AS n_own,
+               string_agg(head || body, '' ORDER BY turn, speaker, text) AS text,
+               coalesce(string_agg(CAST(stop - length(body) AS VARCHAR) || ':' || CAST(stop AS VARCHAR), ',' ORDER BY turn, speaker, text) FILTER (mine), '') AS masks
+        FROM o GROUP BY conv_id, perspective, segment""",
+    "op9_decontamination": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+        iw AS (SELECT DISTINCT item, least(len(ws), 10) AS n, array_to_string(ws[k : k + least(len(ws), 10) - 1], ' ') AS g
+               FROM (SELECT item, ws, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS k FROM b WHERE len(ws) > 0)),
+        dw AS (SELECT doc_id, k, n, array_to_string(ws[k : k + n - 1], ' ') AS g
+               FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM iw) WHERE len(ws) >= n)),
+        h AS (SELECT doc_id, k, dw.n, item FROM dw JOIN iw ON dw.g = iw.g AND dw.n = iw.n),
+        hit AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS pos FROM h) GROUP BY doc_id),
+        its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)""",
 }
-
-ORACLE_SQL: dict[str, str] = {}

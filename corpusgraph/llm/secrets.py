@@ -131,8 +131,9 @@ def secret_digests(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFr
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random, n_live and n_example per row."""
     found = scan_secrets(docs, [id_col], **options)
     many = lambda test: F.size(F.filter("spans", test)).cast("long")
+    of_kind = lambda k: many(lambda s: s.kind == k)
     return found.select(
-        F.col(id_col).alias("doc_id"), *[many(lambda s, k=k: s.kind == k).alias(f"n_{name}") for k, name in enumerate(KINDS)], "base_sha256",
+        F.col(id_col).alias("doc_id"), *[of_kind(k).alias(f"n_{name}") for k, name in enumerate(KINDS)], "base_sha256",
         joined(F.col("spans")).alias("spans"), many(lambda s: s.live).alias("n_live"), many(lambda s: s.example).alias("n_example"),
     )
 
