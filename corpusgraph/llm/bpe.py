@@ -10,7 +10,6 @@ keeps the bound between them.
 from __future__ import annotations
 
 import contextlib
-import functools
 import gc
 import hashlib
 import json
@@ -24,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgraph.llm.common import map_text, strings
+from corpusgraph.llm.common import map_text, resident, strings
 
 #: The public split pattern of byte-level BPE.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -50,7 +49,7 @@ class Encoder:
     keep_words bounds the memory: beyond so many kept words the store is emptied.
     """
 
-    def __init__(self, path: str, keep_words: int = 400_000):
+    def __init__(self, path: str, keep_words: int = 250_000):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         alphabet = byte_alphabet()
@@ -241,6 +240,7 @@ class Encoder:
         new = sorted((x.encode("utf-8"), x) for x in words if x not in self.words)
         if len(self.words) + len(new) > self.keep_words:
             self.words.clear()
+            self.follows.clear()
             new = sorted((x.encode("utf-8"), x) for x in words)
         for (_, word), ids in zip(new, self.encode_words([b for b, _ in new]), strict=True):
             self.words[word] = (",".join(map(str, ids)), len(ids), b"".join([self.bytes_of[i] for i in ids]))
@@ -298,10 +298,9 @@ def no_collection():
             gc.enable()
 
 
-@functools.cache
 def encoder(path: str) -> Encoder:
-    """One encoder for each vocabulary file and Python worker."""
-    return Encoder(path)
+    """The worker's encoder for a vocabulary file."""
+    return resident(f"bpe {path}", lambda: Encoder(path))
 
 
 def _located(vocabulary: str) -> str:
@@ -321,7 +320,7 @@ def encode_texts(docs: DataFrame, keep: list[str], text_col: str = "text", vocab
         return {"ids": pa.ListArray.from_arrays(at, flat), "decoded": pa.array([d.decode("utf-8", "replace") for _, _, d in got], pa.string())}
 
     schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return map_text(docs, text_col, keep, f"{schema}, ids array<int>, decoded string", work)
+    return map_text(docs, text_col, keep, f"{schema}, ids array<int>, decoded string", work, uses_resident=True)
 
 
 def encoding_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
@@ -341,7 +340,7 @@ def encoding_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    return map_text(source, "text", ["doc_id"], f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", work)
+    return map_text(source, "text", ["doc_id"], f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", work, uses_resident=True)
 
 
 def token_counts(docs: DataFrame, keep: list[str], text_col: str = "text", vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
@@ -351,4 +350,4 @@ def token_counts(docs: DataFrame, keep: list[str], text_col: str = "text", vocab
         return {"n_tokens": np.array([n for _, n, _ in encoder(_located(vocabulary)).encode_block(strings(data, offsets))], np.int64)}
 
     schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return map_text(docs, text_col, keep, f"{schema}, n_tokens long" if keep else "n_tokens long", work)
+    return map_text(docs, text_col, keep, f"{schema}, n_tokens long" if keep else "n_tokens long", work, uses_resident=True)

@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Whole texts travel to Python in batches of so many rows, as a batch is held in memory several times.
+TEXT_ROWS = 1000
 #: Rows of a broadcast side at most; beyond it the same join runs as a shuffle join.
 BROADCAST_ROWS = 200_000
 
@@ -29,6 +31,24 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_RESIDENT: dict[str, object] = {}
+
+
+def resident(name: str, make: Callable[[], object]) -> object:
+    """One large object, such as a vocabulary with its kept words, per Python worker.
+
+    Workers are used again by later stages; the next stage's object takes the place of the last.
+    """
+    if name not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[name] = make()
+    return _RESIDENT[name]
+
+
+def release() -> None:
+    _RESIDENT.clear()
+
+
 class Workspace:
     """Tables written to the shared folder, which cut the lineage and survive lost executors."""
 
@@ -83,17 +103,23 @@ def row_blocks(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int,
         at = to
 
 
-def map_text(df: DataFrame, text: str, keep: list[str], schema: str, work: Callable[..., dict[str, object]], most: int = 1 << 20) -> DataFrame:
+def map_text(df: DataFrame, text: str, keep: list[str], schema: str, work: Callable[..., dict[str, object]], most: int = 1 << 20, uses_resident: bool = False) -> DataFrame:
     """Runs work(bytes, offsets, rows) over blocks of whole texts and returns one row per text.
 
     work gives columns by name, each an array of one value per row of the block; `keep` columns
-    of the input are passed on. schema lists keep columns first, then those of work.
+    of the input are passed on. schema lists keep columns first, then those of work. Unless work
+    uses it, what an earlier stage left resident in a worker goes.
     """
     from pyspark.sql.types import _parse_datatype_string
 
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(rows)) <= TEXT_ROWS:
+        df.sparkSession.conf.set(rows, str(TEXT_ROWS))
     fields = _parse_datatype_string(schema).fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not uses_resident:
+            release()
         for batch in batches:
             data, offsets = utf8_parts(batch.column(batch.schema.get_field_index("__text")))
             for a, b in row_blocks(offsets, most):

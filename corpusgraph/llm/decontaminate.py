@@ -171,7 +171,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_c
 
     def one(q: Queries, source: DataFrame, cols: list[str], of: str) -> DataFrame:
         shared = spark.sparkContext.broadcast(q)
-        return map_text(source, text_col, cols, of, lambda data, offsets, _: _search(data, offsets, shared.value, slack), 4 << 20)
+        return map_text(source, text_col, cols, of, lambda data, offsets, _: _search(data, offsets, shared.value, slack))
 
     def part(k: int) -> Queries:
         own = windows if slices == 1 else windows.where(F.pmod(F.xxhash64("terms"), F.lit(slices)) == k)

@@ -8,7 +8,6 @@ split once per distinct word of a block; the rest is array work.
 
 from __future__ import annotations
 
-import functools
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.llm import words as w
 from corpusgraph.llm.bpe import _located
-from corpusgraph.llm.common import Workspace, join_small, map_text
+from corpusgraph.llm.common import Workspace, join_small, map_text, resident
 
 #: Characters counted as symbols, and letters by script (first and last code point of each range).
 SYMBOLS = b"#*$%&|<>"
@@ -71,7 +70,7 @@ DEFAULT_BANDS = Bands(
 class Pieces:
     """Piece ids of distinct words, kept by word hash; the store is emptied beyond keep_words."""
 
-    def __init__(self, path: str, keep_words: int = 400_000):
+    def __init__(self, path: str, keep_words: int = 250_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -108,9 +107,8 @@ class Pieces:
         return self.at[place], self.n[place]
 
 
-@functools.cache
 def pieces(path: str) -> Pieces:
-    return Pieces(path)
+    return resident(f"pieces {path}", lambda: Pieces(path))
 
 
 def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -219,7 +217,7 @@ def measure(docs: DataFrame, keep: list[str], text_col: str = "text", vocabulary
         }
 
     schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep), "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_pieces long, chars_per_token double, byte_share double, token_bits double, script string"])
-    return map_text(docs, text_col, keep, schema, work)
+    return map_text(docs, text_col, keep, schema, work, uses_resident=True)
 
 
 def base_failed() -> Column:
