@@ -46,7 +46,9 @@ def byte_alphabet() -> dict[str, int]:
 class Encoder:
     """Encodes and decodes whole texts; distinct words are encoded once and kept.
 
-    keep_words bounds the memory: beyond so many kept words the store is emptied.
+    keep_words bounds the memory: kept words are in two generations of at most half as many. When
+    the young one is full it becomes the old one, and words that are met again move back, so rare
+    words go and common ones stay.
     """
 
     def __init__(self, path: str, keep_words: int = 250_000):
@@ -71,6 +73,8 @@ class Encoder:
         self.marks = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.split = regex.compile(SPLIT)
         self.words: dict[str, tuple[str, int, bytes]] = {}
+        self.old_words: dict[str, tuple[str, int, bytes]] = {}
+        self.names = {i: str(i) for i in self.bytes_of}
         self.keep_words = keep_words
         self.follows: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
@@ -110,8 +114,8 @@ class Encoder:
                 else:
                     longest[state] = below
         self.goto, self.fail, self.longest = goto, fail, longest
-        self.size = {t: len(b) for t, b in self.bytes_of.items()}
         self.many = max(self.bytes_of) + 1
+        self.size = [len(self.bytes_of.get(t, b"")) for t in range(self.many)]
 
     def _step(self, state: int, byte: int) -> int:
         f = state
@@ -197,7 +201,7 @@ class Encoder:
         Words in order are the trie's leaves in depth-first order: the prefix that a word shares
         with the one before is the path still open, and only the nodes below it are new.
         """
-        goto, longest, size, follows, many = self.goto, self.longest, self.size, self.follows, self.many
+        goto, longest, size, follows, many, whole = self.goto, self.longest, self.size, self.follows, self.many, self.whole
         out: list[list[int]] = []
         states, last = [0], [-1]  # the automaton's state and the last token at each depth of the open path
         before = b""
@@ -221,7 +225,7 @@ class Encoder:
                         fits = follows.get(last[start] * many + token)
                         if fits is None:
                             fits = self.may_follow(last[start], token)
-                    else:
+                    elif (fits := whole.get(token)) is None:
                         fits = self.is_whole(token)
                     if fits:
                         break
@@ -237,13 +241,24 @@ class Encoder:
         return out
 
     def _learn(self, words: set[str]) -> None:
-        new = sorted((x.encode("utf-8"), x) for x in words if x not in self.words)
-        if len(self.words) + len(new) > self.keep_words:
-            self.words.clear()
-            self.follows.clear()
-            new = sorted((x.encode("utf-8"), x) for x in words)
-        for (_, word), ids in zip(new, self.encode_words([b for b, _ in new]), strict=True):
-            self.words[word] = (",".join(map(str, ids)), len(ids), b"".join([self.bytes_of[i] for i in ids]))
+        """Puts the words of a block into the young generation."""
+        known, old = self.words, self.old_words
+        new = [x for x in words if x not in known]
+        if len(known) + len(new) > self.keep_words // 2 and known:
+            self.words, self.old_words = {}, known
+            known, old, new = self.words, known, list(words)
+            if len(self.follows) > 1_000_000:
+                self.follows.clear()
+        unseen = []
+        for x in new:
+            if (got := old.get(x)) is not None:
+                known[x] = got
+            else:
+                unseen.append((x.encode("utf-8"), x))
+        unseen.sort()
+        names, parts = self.names, self.bytes_of
+        for (_, word), ids in zip(unseen, self.encode_words([b for b, _ in unseen]), strict=True):
+            known[word] = (",".join([names[i] for i in ids]), len(ids), b"".join([parts[i] for i in ids]))
 
     def pieces(self, text: str) -> list[str | int]:
         """The words of a text in order; special tokens, matched first, as their ids."""
