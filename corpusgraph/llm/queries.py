@@ -63,7 +63,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality(_table(spark, sf_dir, "documents"), ["doc_id"])
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_pieces", F.round("chars_per_token", 6).alias("chars_per_token"), F.round("byte_share", 6).alias("byte_share"), F.round("token_bits", 6).alias("token_bits"), "script")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_pieces", F.round("chars_per_token", 6).alias("chars_per_token"), F.round("byte_share", 6).alias("byte_share"), F.round("token_bits", 6).alias("token_bits"), F.round("chars_per_byte_token", 6).alias("chars_per_byte_token"), "script")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -5,6 +5,7 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -261,6 +262,27 @@ def test_quality_keeps_prose_and_rejects_symbols(spark, sf):
     assert good.where("kept").count() >= 0.95 * good.count()
 
 
+def test_quality_rejects_the_junk_and_keeps_the_rest(spark, sf):
+    folder = Path(sf).parent / "sf0.1"
+    if not folder.exists():
+        pytest.skip("no larger tables")
+    d = spark.read.parquet(f"{folder}/documents.parquet").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id", "left")
+    out = quality.quality(d, ["doc_id", "quality"]).where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("share"))
+    kept = {r.quality: r.share for r in out.collect()}
+    assert kept[0] <= 0.1 and kept[1] >= 0.99, kept
+
+
+def test_quality_judges_short_texts_and_both_sides(spark):
+    rng = random.Random(3)
+    words = "the quick brown fox jumps over a lazy dog while seven old men watch from their garden wall".split()
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    odd = {"symbols": " ".join(f"{x}{c * 3}" for x, c in zip(prose(15).split(), "#$%&*" * 3, strict=True)), "long": "international understanding responsibilities characteristics environmental administration representatives constitutional communications considerable particularly independence"}
+    rows = [(k, prose(200)) for k in range(60)] + [(100 + k, prose(20)) for k in range(20)] + [(200 + k, t) for k, t in enumerate(odd.values())]
+    got = {r.doc_id: r for r in quality.quality(docs(spark, rows), ["doc_id"]).collect()}
+    assert all(r.kept for i, r in got.items() if i < 200 and not r.base_failed)
+    assert all(not got[k].base_failed and not got[k].kept and got[k].n_pieces < 64 for k in (200, 201))
+
+
 # --- secrets
 
 
