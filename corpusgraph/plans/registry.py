@@ -102,6 +102,12 @@ def snippet_read(spark: SparkSession, d: str) -> DataFrame:
     return own.select("doc_id", S.snippet(F.col("text"), F.lit(10), F.lit(70)).alias("snippet"))
 
 
+@query()
+def snippet_read_all(spark: SparkSession, d: str) -> DataFrame:
+    """Snippets of all texts: bytes 10 to 70, also where an edge lies inside a character."""
+    return V.table(spark, d, "documents").select("doc_id", S.snippet(F.col("text"), F.lit(10), F.lit(70)).alias("snippet"))
+
+
 # --- hashes, strings, numbers
 
 
@@ -138,6 +144,13 @@ def condense_text(spark: SparkSession, d: str) -> DataFrame:
     return c.select("conv_id", "turn", X.condensed(F.col("text"), 40).alias("text"))
 
 
+@query()
+def condense_text_all(spark: SparkSession, d: str) -> DataFrame:
+    """All turns condensed by bytes: the text with cut characters replaced, and the digest of the bytes."""
+    cut = X.condensed(F.col("text"), 40)
+    return V.table(spark, d, "conversations").select("conv_id", "turn", F.make_valid_utf8(cut).alias("text"), X.content_hash(cut).alias("bytes_sha256"))
+
+
 @query("SELECT doc_id, trim(regexp_replace(text, '[\\s\\p{Z}\\x{85}]+', ' ', 'g')) AS text FROM documents")
 def compact_whitespace(spark: SparkSession, d: str) -> DataFrame:
     return V.table(spark, d, "documents").select("doc_id", X.compact(F.col("text")).alias("text"))
@@ -205,6 +218,14 @@ def classify_pages(spark: SparkSession, d: str) -> DataFrame:
     return V.table(spark, d, "pages").select("page_id", mime.alias("mime"), C.kind_of(mime).alias("kind"), C.likely_text(F.substring(raw, 1, 40)).alias("likely_text"))
 
 
+@query()
+def classify_pages_all(spark: SparkSession, d: str) -> DataFrame:
+    """Pages by their whole peek: one that ends inside a character is no text by the rule."""
+    peek = F.substring(F.col("html").cast("binary"), 1, C.PEEK)
+    mime = C.mime_type(F.concat(F.lit("/p"), F.col("page_id").cast("string")), peek)
+    return V.table(spark, d, "pages").select("page_id", mime.alias("mime"), C.kind_of(mime).alias("kind"), C.likely_text(peek).alias("likely_text"))
+
+
 @query(with_(V.FILES_SQL, body="SELECT doc_id FROM files WHERE (lang = 'fr' OR lang NOT LIKE 'f%') AND (regexp_matches(path, '/doc_2[^/]\\.m[^/]*$') OR NOT (ext IN ('.log', '.zip') OR regexp_matches(path, '/doc_1[^/]*\\.md$')) AND false)"))
 def file_filter_include(spark: SparkSession, d: str) -> DataFrame:
     return V.files(spark, d).where(L.path_passes(F.col("path"), "/corpus", CONFIG)).select("doc_id")
@@ -401,7 +422,16 @@ def cache_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_(V.FILES_SQL, body="SELECT path || '|' || regexp_extract(path, '[^/]*$') || '|' || ext || '|' || CASE ext WHEN '.py' THEN 'py' WHEN '.md' THEN 'md' WHEN '.json' THEN 'json' WHEN '.html' THEN 'html' WHEN '.csv' THEN 'csv' WHEN '.sql' THEN 'x-sql' WHEN '.pdf' THEN 'pdf' WHEN '.png' THEN 'png' WHEN '.zip' THEN 'zip' WHEN '.txt' THEN 'txt' ELSE 'bin' END || '|' || CASE ext WHEN '.py' THEN 'python' WHEN '.sql' THEN 'sql' ELSE '' END || '|' || size || '|' || replace(replace(CASE WHEN strlen(text) > 100 THEN substr(text, 1, 97) || '...' ELSE text END, '|', '\\|'), chr(10), '\\n') AS line FROM files WHERE strlen(substr(text, 1, 100)) = length(substr(text, 1, 100))"))
 def export_toon_rows(spark: SparkSession, d: str) -> DataFrame:
-    f = V.files(spark, d).where(F.octet_length(F.substring("text", 1, 100)) == F.char_length(F.substring("text", 1, 100)))
+    return _toon_rows(V.files(spark, d).where(F.octet_length(F.substring("text", 1, 100)) == F.char_length(F.substring("text", 1, 100))))
+
+
+@query()
+def export_toon_rows_all(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of all files: the line with cut characters replaced, and the digest of its bytes."""
+    return _toon_rows(V.files(spark, d)).select(F.make_valid_utf8("line").alias("line"), X.content_hash(F.col("line")).alias("bytes_sha256"))
+
+
+def _toon_rows(f: DataFrame) -> DataFrame:
     f = f.select("path", P.base(F.col("path")).alias("name"), P.extension(F.col("path")).alias("extension"), C.mime_type(F.col("path")).alias("mime_type"), C.language(F.col("path")).alias("language"), "size", F.col("text").alias("summary"))
     return f.select(E.toon_line("files").alias("line"))
 
