@@ -3,8 +3,8 @@
 The standard library's parser streams events into lines, one per block of the page, each with
 its text length, its number of tags and its open elements. The ratios of text to tags are
 smoothed with a Gaussian and clustered by a threshold; lines above it are the page's content
-region. The region then grows to whole blocks: to the element that holds most of it, and in that
-element to every line that no structural mark (menu, footer, form, advert, comments ...) sets
+region. The region then grows to whole blocks: to the article that holds most of it or else to the
+innermost element that holds all of it, and in that element to every line that no structural mark (menu, footer, form, advert, comments ...) sets
 apart, so short paragraphs at the edges of an article aren't lost.
 """
 
@@ -50,6 +50,7 @@ class Lines(HTMLParser):
         self.links: list[int] = []
         self.apart: list[bool] = []
         self.paths: list[tuple[int, ...]] = []
+        self.kinds: dict[int, str] = {}
         self._now: list[str] = []
         self._tags = self._links = 0
         self._in_link = 0
@@ -99,6 +100,8 @@ class Lines(HTMLParser):
                         break
             self.n += 1
             self.open.append((tag, self.n, self._is_apart(tag, attrs)))
+            if tag in CONTAINERS:
+                self.kinds[self.n] = tag
             return
         self._tags += 1
         if tag == "a":
@@ -151,6 +154,7 @@ def choose(page: Lines, sigma: float = 1.0) -> list[int]:
     Lines of a structural mark count as empty of text. The threshold is the standard deviation
     of the smoothed ratios, or their mean if that is less; a page of which nothing passes, such
     as one of a single short line, keeps all lines that aren't set apart.
+    Lines that pass are always kept.
     """
     length = np.array([len(t) for t in page.texts], float)
     apart = np.array(page.apart, bool)
@@ -163,17 +167,16 @@ def choose(page: Lines, sigma: float = 1.0) -> list[int]:
     content = (smooth >= min(smooth.std(), smooth.mean())) & ~apart & ~linked
     if not content.any():
         return free.tolist()
-    # the innermost element with nearly all content text
+    # the innermost article with nearly all content text, else the innermost element with all of it
     total, weight = length[content].sum(), {}
     for k in np.flatnonzero(content):
         for depth, e in enumerate(page.paths[k]):
             had = weight.get(e, (0.0, depth))
             weight[e] = (had[0] + length[k], depth)
-    held = [(depth, e) for e, (x, depth) in weight.items() if x >= 0.9 * total]
-    if not held:
-        return np.flatnonzero(content).tolist()
-    home = max(held)[1]
-    return [k for k in free.tolist() if home in page.paths[k] and not (linked[k] and not content[k] and length[k] < 200 and _listed(page, k, linked))]
+    articles = [(depth, e) for e, (x, depth) in weight.items() if x >= 0.9 * total and page.kinds[e] in ("article", "main")]
+    whole = [(depth, e) for e, (x, depth) in weight.items() if x >= total and page.kinds[e] not in ("blockquote", "td")]
+    home = max(articles or whole, default=(0, None))[1]  # None: the page itself
+    return [k for k in free.tolist() if content[k] or (home is None or home in page.paths[k]) and not (linked[k] and not content[k] and length[k] < 200 and _listed(page, k, linked))]
 
 
 def _listed(page: Lines, k: int, linked: np.ndarray) -> bool:

@@ -442,6 +442,18 @@ def test_main_text_of_the_pages(spark, sf):
         assert got[r.page_id].text == "\n".join(filter(None, blocks)) and got[r.page_id].n_chars == len(got[r.page_id].text)
 
 
+def test_main_text_keeps_all_content_around_the_largest_element():
+    long = " ".join(f"word{k} of a long sentence that goes on" for k in range(60))
+    page = lambda body: f"<html><body><nav><a href=a>Menu</a></nav>{body}<footer>(c)</footer></body></html>"
+    lead, end = "A lead of some words that stands before.", "A closing section with a few words."
+    for inner in (f"<div class=entry><p>{long}</p></div>", f"<blockquote>{long}</blockquote>", f"<table><tr><td>{long}</td></tr></table>"):
+        article = f"<h1>Title</h1><p>{lead}</p>{inner}<section><p>{end}</p></section>"
+        for body in (f"<article>{article}</article>", f"<main><article>{article}</article></main>"):
+            assert html_text.main_text(page(body)) == "\n".join(["Title", lead, long, end]), body
+    beside = " ".join(["Another paragraph of main text that stands beside the article."] * 4)
+    assert html_text.main_text(page(f"<article><p>{long}</p></article><div><p>{beside}</p></div>")).split("\n") == [long, beside]
+
+
 def test_main_text_without_an_article(spark):
     page = """<body><div class="site-header">Head</div><ul id=menu><li><a href=a>One</a><li><a href=b>Two</a></ul>
       <div class=content><h2>T &amp; &eacute;</h2><p>One two three four five six seven eight. A long paragraph it is.<p>Short.<br>More
