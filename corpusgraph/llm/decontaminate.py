@@ -65,7 +65,7 @@ class Shard:
 
     def __init__(self, q: Queries, hashes: np.ndarray, at: np.ndarray):
         # positions leave a gap between rows, so no phrase runs over a row's end
-        gap = q.terms.shape[1] + 16
+        self.gap = gap = q.terms.shape[1] + 16
         self.row = np.repeat(np.arange(len(at) - 1), np.diff(at))
         self.positions = np.arange(len(hashes)) + self.row * gap
         k = np.searchsorted(q.vocabulary, hashes)
@@ -83,6 +83,17 @@ class Shard:
         k = np.minimum(k, len(self.postings) - 1)
         return (self.postings[k] >= term * self.span + low) & (self.postings[k] <= term * self.span + np.minimum(position + slack, self.span - 1))
 
+    def extent(self, q: Queries, window: np.ndarray, start: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first and last position of any term of each match that lies within slack of its place."""
+        first, last = np.full(len(window), self.span), np.full(len(window), -1)
+        for k in range(q.terms.shape[1]):
+            own = np.flatnonzero(q.lengths[window] > k)
+            term, at = q.terms[window[own], k] * self.span, start[own] + k
+            a = self.postings[np.searchsorted(self.postings, term + np.maximum(at - slack, 0))] - term
+            b = self.postings[np.searchsorted(self.postings, term + np.minimum(at + slack, self.span - 1), "right") - 1] - term
+            first[own], last[own] = np.minimum(first[own], a), np.maximum(last[own], b)
+        return first, last
+
     def match(self, q: Queries, slack: int, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, start position, exact) of every proximity match, exact matches among them."""
         none = np.zeros(0, np.int64)
@@ -117,6 +128,22 @@ class Shard:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _near(shard: Shard, q: Queries, at: np.ndarray, row: np.ndarray, window: np.ndarray, start: np.ndarray, slack: int) -> tuple[list, list]:
+    """Per row the word ranges, joined where they meet, and the items of proximity matches."""
+    runs, items = [[] for _ in at[1:]], [set() for _ in at[1:]]
+    if not len(window):
+        return runs, [[] for _ in at[1:]]
+    first, last = shard.extent(q, window, start, slack)
+    words = row * shard.gap + at[row]
+    for r, a, b, k in sorted(zip(row.tolist(), (first - words).tolist(), (last - words + 1).tolist(), window.tolist(), strict=True)):
+        items[r].update(q.items[i] for i in q.item_of[q.item_at[k] : q.item_at[k + 1]])
+        if runs[r] and a <= runs[r][-1]["b"]:
+            runs[r][-1]["b"] = max(b, runs[r][-1]["b"])
+        else:
+            runs[r].append({"a": a, "b": b})
+    return runs, [sorted(x) for x in items]
+
+
 def _search(data: np.ndarray, offsets: np.ndarray, q: Queries, slack: int) -> dict[str, object]:
     data = w.LOWER[data]
     starts, ends, at = w.bounds(data, offsets, w.ALNUM)
@@ -129,6 +156,8 @@ def _search(data: np.ndarray, offsets: np.ndarray, q: Queries, slack: int) -> di
     n_windows = len(q.lengths) + 1
     hits, near = np.unique(row[exact] * n_windows + window[exact]), np.unique(row * n_windows + window)
     near = np.setdiff1d(near, hits)
+    only = np.isin(row * n_windows + window, near)
+    near_runs, near_items = _near(shard, q, at, row[only], window[only], start[only], slack)
     edge = np.zeros(len(shard.positions) + 1, np.int64)
     np.add.at(edge, anchor[exact], 1)
     np.add.at(edge, anchor[exact] + q.lengths[window[exact]], -1)
@@ -149,15 +178,18 @@ def _search(data: np.ndarray, offsets: np.ndarray, q: Queries, slack: int) -> di
         "runs": pa.array(runs, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
         "items": pa.array([[q.items[i] for i in x] for x in which], pa.list_(pa.string())),
         "n_near": np.bincount(near // n_windows, minlength=n)[:n].astype(np.int64),
+        "near_runs": pa.array(near_runs, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
+        "near_items": pa.array(near_items, pa.list_(pa.string())),
     }
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 10, slack: int = 2, slice_windows: int = 200_000) -> DataFrame:
-    """keep columns, n_words, runs (word ranges covered by benchmark windows), items, n_near per row.
+    """keep columns, n_words, runs (word ranges covered by benchmark windows), items, n_near, near_runs and near_items per row.
 
     A window is `size` consecutive words of an item, or all of a shorter item's. items lists the
     items with a window in the text, as strings; n_near counts the windows that occur only nearly:
-    every word is there within `slack` places of its own, but not all in place. Null and empty
+    every word is there within `slack` places of its own, but not all in place. near_runs are the
+    word ranges from the first to the last such word, and near_items their items. Null and empty
     texts have no words; items with no words or null id match nothing; items that repeat count
     once. Rows of docs that repeat are returned as often.
     """
@@ -167,7 +199,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_c
     n = windows.count()
     slices = max(1, -(-n // slice_windows))
     schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    schema = f"{schema}, n_words long, runs array<struct<a:long,b:long>>, items array<string>, n_near long"
+    schema = f"{schema}, n_words long, runs array<struct<a:long,b:long>>, items array<string>, n_near long, near_runs array<struct<a:long,b:long>>, near_items array<string>"
 
     def one(q: Queries, source: DataFrame, cols: list[str], of: str) -> DataFrame:
         shared = spark.sparkContext.broadcast(q)
@@ -185,7 +217,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_c
     for k in range(slices):
         got = work.save(one(part(k), numbered, ["__row"], schema.replace(schema.split(", n_words")[0], "__row long")), f"pass-{k}")
         passes = got if passes is None else passes.unionByName(got)
-    summed = passes.groupBy("__row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.sum("n_near").alias("n_near"))
+    runs = [F.flatten(F.collect_list(c)).alias(c) for c in ("runs", "near_runs")]
+    items = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "near_items")]
+    summed = passes.groupBy("__row").agg(F.max("n_words").alias("n_words"), runs[0], items[0], F.sum("n_near").alias("n_near"), runs[1], items[1])
     return numbered.select("__row", *keep).join(summed, "__row").drop("__row")
 
 
@@ -204,3 +238,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.col(id_col).alias("doc_id"), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), "n_near",
     )
+
+
+def proximity(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """Per row: doc_id, n_near, n_near_hit (words under near_runs), near_items and near_runs (see find_overlaps)."""
+    found = find_overlaps(docs, benchmark, [id_col], **options)
+    spans = F.transform(F.array_sort("near_runs"), lambda r: F.concat_ws(":", r["a"].cast("string"), r["b"].cast("string")))
+    return found.select(F.col(id_col).alias("doc_id"), "n_near", covered_words(F.col("near_runs")).alias("n_near_hit"), F.array_join("near_items", ",").alias("near_items"), F.array_join(spans, ",").alias("near_runs"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.llm.bpe import encoding_digests
 from corpusgraph.llm.chat import rotate
-from corpusgraph.llm.decontaminate import contamination
+from corpusgraph.llm.decontaminate import contamination, proximity
 from corpusgraph.llm.html_text import extract_text
 from corpusgraph.llm.near_dup import near_duplicates
 from corpusgraph.llm.pii import personal_data_digests
@@ -61,6 +61,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("n_near")
 
 
+def decontamination_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proximity matches beside op9's exact ones, whose columns are those of its SQL."""
+    return proximity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality(_table(spark, sf_dir, "documents"), ["doc_id"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_pieces", F.round("chars_per_token", 6).alias("chars_per_token"), F.round("byte_share", 6).alias("byte_share"), F.round("token_bits", 6).alias("token_bits"), F.round("chars_per_byte_token", 6).alias("chars_per_byte_token"), "script")
@@ -70,7 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc_segments, op2_secret_ownership, op3_html_text_ratio, op4_minhash_near_dup, op5_pii_bootstrap,
-        op6_chat_rotation, op7_token_length_histogram, op8_bpe_trie, op9_decontamination, op10_token_fertility,
+        op6_chat_rotation, op7_token_length_histogram, op8_bpe_trie, op9_decontamination, op10_token_fertility, decontamination_proximity,
     )
 }
 

@@ -164,6 +164,23 @@ def test_proximity(spark):
     assert [got[k].contaminated for k in (1, 2, 3)] == [True, False, False] and [got[k].n_near for k in (1, 2, 3)] == [0, 1, 0]
 
 
+def test_proximity_names_items_and_places(spark):
+    rng = random.Random(8)
+    items = [(k, [f"i{k}w{j}" for j in range(10)]) for k in range(8)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    texts, want = [], {}
+    for k in range(40):
+        i, w = rng.choice(items)
+        at, put = rng.randint(0, 6), rng.randint(1, 9)
+        own = w[:put] + ["odd"] * (k % 3) + w[put:]
+        texts.append((k, " ".join(["pad"] * at + own + ["pad"] * 3)))
+        # one or two words inserted are within the slack of 2, and are no exact match
+        want[k] = (1, len(own), str(i), f"{at}:{at + len(own)}") if k % 3 else (0, 0, "", "")
+    for options in ({}, {"slice_windows": 3}):
+        got = {r.doc_id: tuple(r)[1:] for r in decontaminate.proximity(docs(spark, texts), bench, **options).collect()}
+        assert got == want
+
+
 # --- BPE and token lengths
 
 
