@@ -334,8 +334,7 @@ def encode_texts(docs: DataFrame, keep: list[str], text_col: str = "text", vocab
         at = np.concatenate([[0], np.cumsum([n for _, n, _ in got])]).astype(np.int32)
         return {"ids": pa.ListArray.from_arrays(at, flat), "decoded": pa.array([d.decode("utf-8", "replace") for _, _, d in got], pa.string())}
 
-    schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return map_text(docs, text_col, keep, f"{schema}, ids array<int>, decoded string", work, uses_resident=True)
+    return map_text(docs, text_col, keep, "ids array<int>, decoded string", work, uses_resident=True)
 
 
 def encoding_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
@@ -354,8 +353,7 @@ def encoding_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         }
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return map_text(source, "text", ["doc_id"], f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", work, uses_resident=True)
+    return map_text(source, "text", ["doc_id"], "n_tokens long, ids_sha256 string, decoded_sha256 string", work, uses_resident=True)
 
 
 def token_counts(docs: DataFrame, keep: list[str], text_col: str = "text", vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
@@ -364,5 +362,4 @@ def token_counts(docs: DataFrame, keep: list[str], text_col: str = "text", vocab
     def work(data, offsets, _):
         return {"n_tokens": np.array([n for _, n, _ in encoder(_located(vocabulary)).encode_block(strings(data, offsets))], np.int64)}
 
-    schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return map_text(docs, text_col, keep, f"{schema}, n_tokens long" if keep else "n_tokens long", work, uses_resident=True)
+    return map_text(docs, text_col, keep, "n_tokens long", work, uses_resident=True)

@@ -10,22 +10,26 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
-#: Whole texts travel to Python in batches of so many rows, as a batch is held in memory several times.
-TEXT_ROWS = 1000
 #: Rows of a broadcast side at most; beyond it the same join runs as a shuffle join.
 BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is
-    unset (tests, one machine) a new temporary folder that is then set as checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset on one
+    machine (local mode, as in tests) a new temporary folder, which is then set as checkpoint folder.
+
+    On a cluster an unset folder is an error: executors would write to their own disks and others
+    would read nothing.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="corpusgraph-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -52,24 +56,66 @@ def release() -> None:
 class Workspace:
     """Tables written to the shared folder, which cut the lineage and survive lost executors."""
 
+    _open: list[list[Workspace]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        if Workspace._open:
+            Workspace._open[-1].append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
-        """Deletes tables that no returned frame reads any more."""
+        """Deletes tables that no returned frame reads any more; the whole workspace without names."""
         jvm = self.spark._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        for where in [f"{self.path}/{name}" for name in names] or [self.path]:
+            path = jvm.org.apache.hadoop.fs.Path(where)
             with contextlib.suppress(Exception):  # an undeleted work table costs disk only
                 path.getFileSystem(conf).delete(path, True)
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes the workspaces that were opened in the block: for callers that have written their result."""
+    Workspace._open.append([])
+    try:
+        yield
+    finally:
+        for work in Workspace._open.pop():
+            work.drop()
+
+
+def packed(keep: list[str]) -> Column:
+    """The kept columns as one column, so that their names can't meet those an operator uses."""
+    return F.struct(*[F.col(f"`{k}`") for k in keep] or [F.lit(None).cast("boolean").alias("none")]).alias("__keep")
+
+
+def unpacked(keep: list[str], own: list[str]) -> list[Column]:
+    """The kept columns again; where the operator returns a column of the same name, that one stands."""
+    return [F.col(f"__keep.`{k}`").alias(k) for k in keep if k not in own]
+
+
+#: What tells rows apart, beside their content: the file and the place in it.
+ROW_KEY = ["__file", "__place"]
+
+
+def with_row_key(docs: DataFrame, work: Workspace) -> DataFrame:
+    """docs and ROW_KEY: a key of each row that stays as it is whenever the table is read again.
+
+    Rows of a Parquet table have one; any other frame is written first.
+    """
+    key = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place")]
+    try:
+        return docs.select(*[F.col(f"`{c}`") for c in docs.columns], *key)
+    except AnalysisException:
+        docs = work.save(docs, "rows")
+        return docs.select(*[F.col(f"`{c}`") for c in docs.columns], *key)
+
+
 def join_small(big: DataFrame, small: DataFrame, on: list[str] | str, how: str, small_rows: int) -> DataFrame:
     """Joins on keys; the small side is broadcast only if it has at most BROADCAST_ROWS rows.
 
@@ -103,19 +149,18 @@ def row_blocks(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int,
         at = to
 
 
-def map_text(df: DataFrame, text: str, keep: list[str], schema: str, work: Callable[..., dict[str, object]], most: int = 1 << 20, uses_resident: bool = False) -> DataFrame:
+def map_text(df: DataFrame, text: str, keep: list[str], added: str, work: Callable[..., dict[str, object]], most: int = 1 << 20, uses_resident: bool = False) -> DataFrame:
     """Runs work(bytes, offsets, rows) over blocks of whole texts and returns one row per text.
 
-    work gives columns by name, each an array of one value per row of the block; `keep` columns
-    of the input are passed on. schema lists keep columns first, then those of work. Unless work
-    uses it, what an earlier stage left resident in a worker goes.
+    `keep` columns of the input are passed on and stand first. work gives the columns that `added`
+    lists as DDL by name, each an array of one value per row of the block. What reaches Python at
+    once is bounded by Spark's bytes per Arrow batch, what is worked on at once by `most`. Unless
+    work uses it, what an earlier stage left resident in a worker goes.
     """
-    from pyspark.sql.types import _parse_datatype_string
-
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(rows)) <= TEXT_ROWS:
-        df.sparkSession.conf.set(rows, str(TEXT_ROWS))
-    fields = _parse_datatype_string(schema).fieldNames()
+    added_fields = _parse_datatype_string(added)
+    kept = df.select(*keep)
+    fields = added_fields.fieldNames()
+    schema = StructType([*kept.schema.fields, *added_fields.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not uses_resident:
@@ -125,8 +170,8 @@ def map_text(df: DataFrame, text: str, keep: list[str], schema: str, work: Calla
             for a, b in row_blocks(offsets, most):
                 part = batch.slice(a, b - a)
                 got = work(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], part)
-                got |= {f"{k}": part.column(i) for i, k in enumerate(keep)}
-                yield pa.RecordBatch.from_arrays([x if isinstance(x := got[f], pa.Array) else pa.array(x) for f in fields], names=fields)
+                arrays = [part.column(i) for i in range(len(keep))] + [x if isinstance(x := got[f], pa.Array) else pa.array(x) for f in fields]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *fields])
 
     return df.select(*[F.col(k) for k in keep], F.col(text).alias("__text")).mapInArrow(run, schema)
 

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgraph.llm.common import map_text, strings
+from corpusgraph.llm.common import map_text, packed, strings, unpacked
 
 #: Elements by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -208,5 +208,6 @@ def extract_text(pages: DataFrame, keep: list[str], html_col: str = "html", sigm
         texts = [main_text(x, sigma) if x else "" for x in strings(data, offsets)]
         return {"text": texts, "n_chars": np.array([len(t) for t in texts], np.int64)}
 
-    schema = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keep)
-    return map_text(pages.select(*keep, F.col(html_col).alias("__html")), "__html", keep, f"{schema}, text string, n_chars long", work)
+    own = pages.select(packed(keep), F.col(html_col).alias("__html"))
+    out = map_text(own, "__html", ["__keep"], "text string, n_chars long", work)
+    return out.select(*unpacked(keep, ["text", "n_chars"]), "text", "n_chars")

@@ -6,45 +6,44 @@ belongs to a character of U+0080 or more.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
-#: Odd multipliers drawn once from a fixed seed; they define the hashes of stored tables.
+#: Hash constants, drawn once from a fixed seed; they define the hashes of stored tables.
 _RNG = np.random.default_rng(20240117)
-BASE = U(int(_RNG.integers(1 << 62, 1 << 63)) * 2 + 1)
-ORDER = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * U(2) + U(1)
+SEED, ORDER_SEED, KEY = U(int(_RNG.integers(1 << 62, 1 << 63))), U(int(_RNG.integers(1 << 62, 1 << 63))), _RNG.bytes(32)
+#: Byte spans longer than this are hashed one by one by a keyed cryptographic hash.
+LONG_SPAN = 512
 
 
-def byte_table(inside) -> np.ndarray:
-    return np.array([bool(inside(b)) for b in range(256)])
+def mix(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values that spreads every bit (the splitmix64 finaliser)."""
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
+        return h ^ (h >> U(31))
 
 
-#: Words of [^\x20\x09-\x0D]+ and of [^\x00-\x2F\x3A-\x60\x7B-\x7F]+.
-SPACED = byte_table(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
-ALNUM = byte_table(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
-LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+def multipliers(n: int) -> np.ndarray:
+    """n odd multipliers, one for each place of a window; the k-th doesn't depend on n."""
+    with np.errstate(over="ignore"):
+        return mix(np.arange(1, n + 1, dtype=np.uint64) * ORDER_SEED) | U(1)
 
-_POW = np.ones(1, np.uint64)
-_INV = np.ones(1, np.uint64)
 
+#: Multipliers of single uses: set digests, band keys, row keys.
+ORDER = multipliers(64)
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POW, _INV
-    if len(_POW) < n:
-        size = max(n, 1 << 20) + 1
-        with np.errstate(over="ignore"):
-            inverse = U(pow(int(BASE), -1, 1 << 64))
-            _POW = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, BASE)]))
-            _INV = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, inverse)]))
-    return _POW, _INV
 
+def byte_table(inside) -> np.ndarray:
+    return np.array([bool(inside(b)) for b in range(256)])
 
-def mix(h: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit values that spreads every bit (the splitmix64 finaliser)."""
-    h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
-    return h ^ (h >> U(31))
 
+#: Words of [^\x20\x09-\x0D]+ and of [^\x00-\x2F\x3A-\x60\x7B-\x7F]+.
+SPACED = byte_table(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
+ALNUM = byte_table(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 def bounds(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, rows): byte bounds of all words; row r has the words rows[r] to rows[r+1]."""
@@ -64,14 +63,33 @@ def bounds(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each byte span, from one prefix sum."""
-    if not len(starts):
+    """A 64-bit hash of each byte span: its length and then its 8-byte lanes go through `mix` one by
+    one, so what a lane does depends on all before it and no rule of the text cancels out, as it does
+    in a polynomial modulo a power of two. Two different spans agree with probability 2 ** -64.
+    """
+    size = ends - starts
+    if not len(size):
         return np.zeros(0, np.uint64)
-    power, inverse = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    lanes = np.ndarray(len(data) + 1, np.dtype("<u8"), padded, strides=(1,))
     with np.errstate(over="ignore"):
-        np.cumsum((data.astype(np.uint64) + U(1)) * power[: len(data)], out=total[1:])
-        return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * ORDER[60])
+        h = mix(size.astype(np.uint64) * ORDER[60] + SEED)
+    short = size <= LONG_SPAN
+    every = short.all()
+    live = np.arange(len(size)) if every else np.flatnonzero(short)
+    at, left = (starts, size) if every else (starts[live], size[live])
+    while len(live):
+        tail = U(64) - U(8) * np.minimum(np.maximum(left, 1), 8).astype(np.uint64)
+        lane = (lanes[at] << tail) >> tail
+        h[live] = mix(h[live] ^ np.where(left > 0, lane, U(0)))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    if not every:
+        raw = data.tobytes()
+        for k in np.flatnonzero(~short).tolist():
+            h[k] = int.from_bytes(hashlib.blake2b(raw[starts[k] : ends[k]], digest_size=8, key=KEY).digest(), "little")
+    return h
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -79,13 +97,20 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
+    by = multipliers(size)
     with np.errstate(over="ignore"):
-        out = words[:n] * ORDER[0]
+        out = words[:n] * by[0]
         for k in range(1, size):
-            out += words[k : k + n] * ORDER[k]
+            out += words[k : k + n] * by[k]
         return mix(out)
 
 
+def sequence_hash(words: np.ndarray) -> np.uint64:
+    """The hash of a whole sequence of words, apart from that of any window of as many."""
+    with np.errstate(over="ignore"):
+        return mix((words * multipliers(len(words))).sum(keepdims=True) + mix(np.full(1, len(words), np.uint64) + SEED))[0]
+
+
 def counts(rows: np.ndarray) -> np.ndarray:
     return np.diff(rows)
 
