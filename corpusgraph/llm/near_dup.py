@@ -11,6 +11,10 @@
    did not show. All members outside its largest component are compared with all members of
    other components, in blocks of bounded size, so no candidate link is lost and no group meets
    in one task. Only links that join two components of a block leave it.
+5. A bucket too large for one block is first split by prefixes: of two sets that are similar
+   enough, the smaller has one of its rarest shingles among the rarest of the larger. Members
+   meet only where such a shingle is shared, so texts on one template, which share the common
+   part and little else, are not compared with each other.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusgraph.llm import words as w
-from corpusgraph.llm.common import Workspace, join_small, map_text
+from corpusgraph.llm.common import BROADCAST_ROWS, Workspace, join_small, map_text, packed, unpacked
 from corpusgraph.llm.components import connected_components
 
 U = np.uint64
@@ -45,8 +49,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
             s = np.sort(windows[a : b - size + 1])
             s = s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) > 1 else s
         elif b > a:
-            with np.errstate(over="ignore"):
-                s = w.mix((h[a:b] * w.ORDER[: b - a]).sum(keepdims=True) + w.ORDER[50 + b - a])
+            s = w.sequence_hash(h[a:b])[None]
         else:
             continue
         parts.append(s)
@@ -93,8 +96,8 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, per_band: int, seed: int) -> DataFrame:
-    """doc id, n_shingles, set_id (binary digest) and bands (array of long) of each document."""
+def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, per_band: int, seed: int, keep: list[str]) -> DataFrame:
+    """doc_id, __keep, n_shingles, set_id (binary digest) and bands (array of long) of each document."""
 
     def work(data, offsets, _):
         sets, rows = shingle_sets(data, offsets, shingle)
@@ -103,13 +106,15 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands:
         return {"n_shingles": np.diff(rows), "set_id": _binary(digests(sets, rows)), "bands": flat}
 
     # band hashing passes over a block's shingles many times, so blocks stay small
-    return map_text(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "text", ["doc_id"], "doc_id long, n_shingles long, set_id binary, bands array<long>", work, 1 << 19)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), packed(keep), F.col(text_col).alias("text"))
+    return map_text(own, "text", ["doc_id", "__keep"], "n_shingles long, set_id binary, bands array<long>", work, 1 << 19)
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, n_wanted: int, shingle: int) -> DataFrame:
-    """(set_id, shingles) of the classes in `wanted` (set_id, doc_id of one document)."""
+    """(set_id, shingles) of the classes in `wanted` (set_id, doc_id of one document, which may be null)."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = join_small(texts, wanted.select("doc_id").distinct(), "doc_id", "left_semi", n_wanted)
+    ids = wanted.select(F.col("doc_id").alias("id")).distinct()
+    found = texts.join(F.broadcast(ids) if n_wanted <= BROADCAST_ROWS else ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
 
     def work(data, offsets, _):
         sets, rows = shingle_sets(data, offsets, shingle)
@@ -180,50 +185,122 @@ def block_links(left_ids: list, left: list[np.ndarray], left_comp: list, right_i
     return out
 
 
-def residual_links(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, block_shingles: int, work: Workspace) -> DataFrame | None:
+def prefix_sizes(n: int, percent: int) -> tuple[int, int]:
+    """How many of a set's n shingles can hold the first common one with a set that is similar enough:
+    with any smaller or equal set, and with any larger or equal one."""
+    smaller = -(-percent * n // 100)
+    larger = -(-2 * percent * n // (100 + percent))
+    return n - smaller + 1, n - larger + 1
+
+
+def shingle_counts(sets: DataFrame, cells: int) -> np.ndarray:
+    """How many sets have a shingle of each of `cells` hash cells: a fixed-size order from rare to common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                total += np.bincount((np.frombuffer(x.as_buffer(), np.uint64) % U(cells)).astype(np.int64), minlength=cells)
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at), pa.array(total[at])], ["cell", "n"])
+
+    out = np.zeros(cells, np.int64)
+    for r in sets.select("shingles").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r.cell] = r.n
+    return out
+
+
+def by_prefixes(members: DataFrame, sets: DataFrame, percent: int, cells: int, work: Workspace) -> DataFrame:
+    """members (key, set_id, comp, n_shingles) of large buckets with the finer keys at which they meet;
+    `first` is whether the shingle is in the shorter prefix, one of which every pair must have."""
+    own = work.save(join_small(sets, (ids := members.select("set_id").distinct()), "set_id", "left_semi", ids.count()), "large")
+    counts = members.sparkSession.sparkContext.broadcast(shingle_counts(own, cells))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, flags, at = [], [], []
+            for k, (x, key) in enumerate(zip(batch.column(4), batch.column(0).to_numpy(), strict=True)):
+                s = np.frombuffer(x.as_buffer(), np.uint64)
+                probe, index = prefix_sizes(len(s), percent)
+                order = np.lexsort((s, counts.value[(s % U(cells)).astype(np.int64)]))[:probe]
+                with np.errstate(over="ignore"):
+                    keys.append(w.mix(s[order] ^ w.mix(np.full(1, key, np.int64).view(np.uint64))).view(np.int64))
+                flags.append(np.arange(probe) < index)
+                at.append(np.full(probe, k))
+            if at:
+                out = batch.take(pa.array(np.concatenate(at)))
+                yield pa.record_batch([pa.array(np.concatenate(keys)), *(out.column(k) for k in (1, 2, 3)), pa.array(np.concatenate(flags))], ["key", "set_id", "comp", "n_shingles", "first"])
+
+    return members.select("key", "set_id", "comp", "n_shingles").join(own, "set_id").select("key", "set_id", "comp", "n_shingles", "shingles").mapInArrow(run, "key long, set_id binary, comp binary, n_shingles long, first boolean")
+
+
+def residual_links(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, block_shingles: int, block_rows: int, cells: int, work: Workspace) -> DataFrame | None:
     """Links between components inside the buckets: (u, v), or None if no bucket has two components."""
-    placed = work.save(members.where("n > 2").join(comps, F.col("set_id") == F.col("node"), "left").select("key", "set_id", "n_shingles", F.coalesce("root", "set_id").alias("comp")), "placed")
-    sizes = placed.groupBy("key", "comp").agg(F.sum("n_shingles").alias("s"))
-    # the most shingles in one component, ties by its id; the rest of the bucket is compared with all of it
-    split = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max_by("comp", F.struct("s", "comp")).alias("major"), F.sum("s").alias("total"), F.max("s").alias("most")).where("k > 1")
-    split = work.save(split.select("key", "major", F.ceil(F.col("total") / block_shingles).cast("int").alias("mb"), F.ceil((F.col("total") - F.col("most")) / block_shingles).cast("int").alias("rb")), "split")
-    if split.isEmpty():
+
+    def split(placed: DataFrame) -> DataFrame:
+        sizes = placed.groupBy("key", "comp").agg(F.sum("n_shingles").alias("s"), F.count(F.lit(1)).alias("c"), F.max("first").alias("first"))
+        # the most shingles in one component, ties by its id; the rest of the bucket is compared with all of it
+        many = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max_by(F.struct("comp", "s", "c"), F.struct("s", "comp")).alias("major"), F.sum("s").alias("s"), F.sum("c").alias("c"), F.max("first").alias("first"))
+        blocks = lambda s, c: F.ceil(F.greatest(s / block_shingles, c / block_rows)).cast("int")
+        return many.where("k > 1 and first").select("key", F.col("major.comp").alias("major"), blocks(F.col("s"), F.col("c")).alias("mb"), blocks(F.col("s") - F.col("major.s"), F.col("c") - F.col("major.c")).alias("rb"))
+
+    placed = members.where("n > 2").join(comps, F.col("set_id") == F.col("node"), "left").select("key", "set_id", F.coalesce("root", "set_id").alias("comp"), "n_shingles", F.lit(True).alias("first"))
+    placed = work.save(placed, "placed")
+    parts = work.save(split(placed), "split")
+    n_parts = parts.count()
+    if not n_parts:
         return None
-    shared = placed.join(split, "key")
+    shared = join_small(placed, parts, "key", "inner", n_parts)
+    large = parts.where("mb > 1")
+    if n_large := large.count():
+        finer = work.save(by_prefixes(join_small(placed, large, "key", "left_semi", n_large), sets, percent, cells, work), "finer")
+        finer_parts = work.save(split(finer), "finer-split")
+        shared = shared.where("mb = 1").unionByName(join_small(finer, finer_parts, "key", "inner", finer_parts.count()))
     salt = F.xxhash64("set_id", "key")
     blocks = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    right = shared.select("key", "set_id", "comp", F.pmod(salt, F.col("mb")).cast("int").alias("mblock"), blocks("rb").alias("rblock"), F.lit(False).alias("rest"))
-    left = shared.where("comp != major").select("key", "set_id", "comp", blocks("mb").alias("mblock"), F.pmod(salt, F.col("rb")).cast("int").alias("rblock"), F.lit(True).alias("rest"))
+    right = shared.select("key", "set_id", "comp", "first", F.pmod(salt, F.col("mb")).cast("int").alias("mblock"), blocks("rb").alias("rblock"), F.lit(False).alias("rest"))
+    left = shared.where("comp != major").select("key", "set_id", "comp", "first", blocks("mb").alias("mblock"), F.pmod(salt, F.col("rb")).cast("int").alias("rblock"), F.lit(True).alias("rest"))
     dealt = left.unionByName(right).join(sets, "set_id")
 
     def run(table: pa.Table) -> pa.Table:
         ids, comp, rest = table.column("set_id").to_pylist(), table.column("comp").to_pylist(), table.column("rest").to_pylist()
+        first = table.column("first").to_pylist()
         got = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
-        a = [i for i, x in enumerate(rest) if x]
-        b = [i for i, x in enumerate(rest) if not x]
         pick = lambda xs, of: [xs[i] for i in of]
-        found = block_links(pick(ids, a), pick(got, a), pick(comp, a), pick(ids, b), pick(got, b), pick(comp, b), percent)
+        found = []
+        a, b = [i for i, x in enumerate(rest) if x], [i for i, x in enumerate(rest) if not x]
+        own = [i for i in a if first[i]], [i for i in a if not first[i]]
+        # of each pair one at least meets here in its shorter prefix
+        for x, y in ((own[0], b), (own[1], [i for i in b if first[i]])):
+            if x and y:
+                found += block_links(pick(ids, x), pick(got, x), pick(comp, x), pick(ids, y), pick(got, y), pick(comp, y), percent)
         return pa.table({"u": pa.array([x for x, _ in found], pa.binary()), "v": pa.array([y for _, y in found], pa.binary())})
 
-    return dealt.select("key", "mblock", "rblock", "set_id", "comp", "rest", "shingles").groupBy("key", "mblock", "rblock").applyInArrow(run, "u binary, v binary")
+    return dealt.select("key", "mblock", "rblock", "set_id", "comp", "first", "rest", "shingles").groupBy("key", "mblock", "rblock").applyInArrow(run, "u binary, v binary").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 32, per_band: int = 4, seed: int = 7, block_shingles: int = 400_000) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, shingle: int = 5, percent: int = 80, bands: int = 32, per_band: int = 4, seed: int = 7, block_shingles: int = 400_000, block_rows: int = 1000, cells: int = 1 << 20) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept and component for each row of docs, with `keep` columns.
 
     Two texts are linked if 100 * intersection >= percent * union of their distinct word-shingle
     sets. With 32 bands of 4 minima a pair of similarity 0.8 shares no band with probability
     (1 - 0.8 ** 4) ** 32 = 5e-8. component_id is the smallest doc_id reachable over links, itself
-    included; kept says whether that is the row's own doc_id.
+    included; kept says whether that is the row's own doc_id; component names the component itself
+    (null for a text that is like no other).
+
+    Shingles are compared by 64-bit hashes and equal sets by 128-bit digests of them; see
+    words.span_hashes for their chance of a clash, the only way to link unequal texts.
 
     Null and empty texts, and texts of white space, have n_shingles 0 and are linked with nothing.
     Rows that repeat are returned as often; rows of one doc_id with other texts are separate
     documents. A null doc_id takes part in links; it is never the smallest id, and a component of
-    null ids only has component_id null and kept null. Other columns are ignored.
+    null ids only has component_id null and kept null. An empty table gives no rows. Other columns
+    are ignored; a kept one named like a returned one is left out.
     """
+    keep = keep or []
     work = Workspace(docs.sparkSession, "near-dup")
-    signed = work.save(signatures(docs, id_col, text_col, shingle, bands, per_band, seed), "signed")
-    plain = signed.select("doc_id", "n_shingles", "set_id")
+    signed = work.save(signatures(docs, id_col, text_col, shingle, bands, per_band, seed, keep), "signed")
+    plain = signed.select("doc_id", "__keep", "n_shingles", "set_id")
     classes = work.save(signed.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "classes")
     keyed = classes.select("set_id", "n_shingles", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("key"), "set_id", "n_shingles")
     # a bucket's representative is drawn anew for each key, so that bands vary it
@@ -236,7 +313,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = work.save(full_sets(docs, id_col, text_col, wanted, wanted.count(), shingle), "sets")
     links = work.save(confirm(stars, sets, percent), "links")
     comps = work.save(connected_components(links, work, "first"), "comps")
-    more = residual_links(members, comps, sets, percent, block_shingles, work)
+    more = residual_links(members, comps, sets, percent, block_shingles, block_rows, cells, work)
     if more is not None:
         more = work.save(more, "more")
         chain = comps.where("node != root").select(F.col("node").alias("u"), F.col("root").alias("v"))
@@ -245,8 +322,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = classes.select("set_id", "doc_id", "copies").join(comps, F.col("set_id") == F.col("node"), "left")
     named = named.where("copies > 1 or root is not null").select("set_id", "doc_id", F.coalesce("root", "set_id").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = work.save(named.join(least, "root").select("set_id", "component_id"), "named")
-    work.drop("members", "sets", "stars", "placed", "split", "links", "comps", "comps2", "more", "wanted", "buckets", "classes")
+    named = work.save(named.join(least, "root").select("set_id", F.col("root").alias("component"), "component_id"), "named")
+    work.drop("members", "sets", "stars", "placed", "split", "large", "finer", "finer-split", "links", "comps", "comps2", "more", "wanted", "buckets", "classes")
     out = join_small(plain, named, "set_id", "left", named.count())
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    own = ["doc_id", "n_shingles", "component_id", "kept", "component"]
+    return out.select(*unpacked(keep, own), "doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), "component")
+
+
+def duplicate_rows(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The `keep` columns of all rows but one of each component: of the least doc_id, then the least
+    `keep` values; a row with an id comes before one without. keep must tell rows apart. Rows that
+    repeat are near duplicates of each other; rows of one doc_id go only if their own text is in a
+    component with another."""
+    found = near_duplicates(docs, id_col, text_col, keep, **options).where("component is not null")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *keep)
+    best = found.groupBy("component").agg(F.min(rank).alias("best"))
+    return found.join(best, "component").where(~rank.eqNullSafe(F.col("best"))).select(*keep)
