@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.llm.bpe import encoding_digests
 from corpusgraph.llm.chat import rotate
-from corpusgraph.llm.decontaminate import contamination, proximity
+from corpusgraph.llm.decontaminate import contamination
 from corpusgraph.llm.html_text import extract_text
 from corpusgraph.llm.near_dup import near_duplicates
 from corpusgraph.llm.pii import personal_data_digests
@@ -36,7 +36,7 @@ def op3_html_text_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4).drop("component")
 
 
 def op5_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,12 +58,7 @@ def op8_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("n_near")
-
-
-def decontamination_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The proximity matches beside op9's exact ones, whose columns are those of its SQL."""
-    return proximity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op10_token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc_segments, op2_secret_ownership, op3_html_text_ratio, op4_minhash_near_dup, op5_pii_bootstrap,
-        op6_chat_rotation, op7_token_length_histogram, op8_bpe_trie, op9_decontamination, op10_token_fertility, decontamination_proximity,
+        op6_chat_rotation, op7_token_length_histogram, op8_bpe_trie, op9_decontamination, op10_token_fertility,
     )
 }
 
@@ -118,14 +113,28 @@ ORACLE_SQL: dict[str, str] = {
     "op9_decontamination": f"""
         WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
         b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
-        iw AS (SELECT DISTINCT item, least(len(ws), 10) AS n, array_to_string(ws[k : k + least(len(ws), 10) - 1], ' ') AS g
+        iw AS (SELECT DISTINCT item, least(len(ws), 10) AS n, ws[k : k + least(len(ws), 10) - 1] AS t, array_to_string(ws[k : k + least(len(ws), 10) - 1], ' ') AS g
                FROM (SELECT item, ws, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS k FROM b WHERE len(ws) > 0)),
         dw AS (SELECT doc_id, k, n, array_to_string(ws[k : k + n - 1], ' ') AS g
                FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM iw) WHERE len(ws) >= n)),
-        h AS (SELECT doc_id, k, dw.n, item FROM dw JOIN iw ON dw.g = iw.g AND dw.n = iw.n),
+        h AS (SELECT doc_id, k, dw.n, item, dw.g FROM dw JOIN iw ON dw.g = iw.g AND dw.n = iw.n),
         hit AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS pos FROM h) GROUP BY doc_id),
-        its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+        its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id),
+        -- proximity: every word within two places of its own, as counted from the window's rarest word
+        wt AS (SELECT g, n, t, unnest(range(0, n)) AS k, unnest(t) AS word FROM (SELECT DISTINCT g, n, t FROM iw)),
+        p AS (SELECT doc_id, pos, word FROM (SELECT doc_id, unnest(range(0, len(ws))) AS pos, unnest(ws) AS word FROM d) WHERE word IN (SELECT word FROM wt)),
+        f AS (SELECT word, count(*) AS c FROM p GROUP BY word),
+        lead AS (SELECT g, n, arg_min(k, c * 1000 + k) AS k0, arg_min(word, c * 1000 + k) AS w0 FROM wt JOIN f USING (word) GROUP BY g, n HAVING count(*) = n),
+        c AS (SELECT doc_id, g, n, pos - k0 AS s FROM p JOIN lead ON word = w0),
+        m AS (SELECT c.doc_id, c.g, c.n, s, wt.k, min(pos) AS a, max(pos) AS b FROM c JOIN wt USING (g, n) JOIN p ON p.doc_id = c.doc_id AND p.word = wt.word AND p.pos BETWEEN s + wt.k - 2 AND s + wt.k + 2 GROUP BY ALL),
+        near AS (SELECT doc_id, g, n, s, min(a) AS a, max(b) + 1 AS b FROM m GROUP BY doc_id, g, n, s HAVING count(*) = n),
+        only_near AS (SELECT * FROM near WHERE (doc_id, g, n) NOT IN (SELECT (doc_id, g, n) FROM h)),
+        nn AS (SELECT doc_id, count(DISTINCT (g, n)) AS n_near FROM only_near GROUP BY doc_id),
+        ni AS (SELECT doc_id, string_agg(item, ',' ORDER BY item) AS near_items FROM (SELECT DISTINCT doc_id, item FROM only_near JOIN iw USING (g, n)) GROUP BY doc_id),
+        isl AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY a, b) AS isle FROM (SELECT doc_id, a, b, CASE WHEN a <= max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM only_near)),
+        nr AS (SELECT doc_id, string_agg(a || ':' || b, ',' ORDER BY a) AS near_runs FROM (SELECT doc_id, isle, min(a) AS a, max(b) AS b FROM isl GROUP BY doc_id, isle) GROUP BY doc_id)
         SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)""",
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+               coalesce(n_near, 0) AS n_near, coalesce(near_items, '') AS near_items, coalesce(near_runs, '') AS near_runs
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN nn USING (doc_id) LEFT JOIN ni USING (doc_id) LEFT JOIN nr USING (doc_id)""",
 }
