@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.llm import words as w
 from corpusgraph.llm.bpe import _located
-from corpusgraph.llm.common import Workspace, join_small, map_text, resident
+from corpusgraph.llm.common import Workspace, join_small, map_text, packed, resident, unpacked
 
 #: Characters counted as symbols, and letters by script (first and last code point of each range).
 SYMBOLS = b"#*$%&|<>"
@@ -62,6 +62,9 @@ class Bands:
     bits_deviations: float = 3.0
     least_bits_deviation: float = 0.05
     bits_texts: int = 30
+    #: The corpus' own upper band of byte_share, widened for short texts as above, over a least deviation.
+    bytes_deviations: float = 6.0
+    least_bytes_deviation: float = 0.01
 
 
 DEFAULT_BANDS = Bands(
@@ -205,6 +208,10 @@ def _scripts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.where(tally.max(axis=1) > 0, tally.argmax(axis=1), -1)
 
 
+#: What is measured of each text.
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_pieces long, chars_per_token double, byte_share double, token_bits double, chars_per_byte_token double, script string"
+
+
 def measure(docs: DataFrame, keep: list[str], text_col: str = "text", vocabulary: str = "piece_bpe_32k.model", second: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     """keep columns and each text's counts and fertility: one pass, no shuffle.
 
@@ -241,8 +248,7 @@ def measure(docs: DataFrame, keep: list[str], text_col: str = "text", vocabulary
             "chars_per_byte_token": chars / np.maximum(n_second, 1), "script": names[_scripts(data, offsets)].tolist(),
         }
 
-    schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep), "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_pieces long, chars_per_token double, byte_share double, token_bits double, chars_per_byte_token double, script string"])
-    return map_text(docs, text_col, keep, schema, work, uses_resident=True)
+    return map_text(docs, text_col, keep, MEASURES, work, uses_resident=True)
 
 
 def base_failed() -> Column:
@@ -276,9 +282,9 @@ def _quartiles(measured: DataFrame, keys: list[str], column: str) -> DataFrame:
 
 
 def corpus_bands(measured: DataFrame, group: str, length: str, work: Workspace) -> list[tuple[DataFrame, list[str]]]:
-    """The middle and deviation of characters per token, by either vocabulary, of each group, and of
-    token_bits of each group and length, as tables with their keys."""
-    keys = {"chars_per_token": [group], "chars_per_byte_token": [group], "token_bits": [group, length]}
+    """The middle and deviation of characters per token, by either vocabulary, and of byte_share of each
+    group, and of token_bits of each group and length, as tables with their keys."""
+    keys = {"chars_per_token": [group], "chars_per_byte_token": [group], "byte_share": [group], "token_bits": [group, length]}
     return [(work.save(_quartiles(measured, k, column), f"bands-{column}"), k) for column, k in keys.items()]
 
 
@@ -293,7 +299,11 @@ def outside_corpus(bands: Bands = DEFAULT_BANDS) -> Column:
 
     far = [F.abs(away(c, bands.least_deviation)) > bands.deviations * widen for c in ("chars_per_token", "chars_per_byte_token")]
     flat = F.col("judged") & (F.col("token_bits_n") >= bands.bits_texts) & (F.col("token_bits") < F.col("token_bits_middle") - bands.bits_deviations * F.greatest(F.col("token_bits_deviation"), F.lit(bands.least_bits_deviation)))
-    return F.coalesce(far[0], F.lit(False)) | F.coalesce(far[1], F.lit(False)) | F.coalesce(flat, F.lit(False))
+    bytewise = (F.col("byte_share") - F.col("byte_share_middle")) > bands.bytes_deviations * widen * F.greatest(F.col("byte_share_deviation"), F.lit(bands.least_bytes_deviation))
+    out = F.lit(False)
+    for test in (*far, bytewise, flat):
+        out = out | F.coalesce(test, F.lit(False))
+    return out
 
 
 def quality(docs: DataFrame, keep: list[str], text_col: str = "text", lang_col: str = "lang", vocabulary: str = "piece_bpe_32k.model", bands: Bands = DEFAULT_BANDS) -> DataFrame:
@@ -302,19 +312,19 @@ def quality(docs: DataFrame, keep: list[str], text_col: str = "text", lang_col:
     base_failed: fewer than 10 words, or more than a fifth of the words in 5-word runs that the
     text repeats; so null, empty and white texts fail. kept is false for those, for texts outside
     the fixed band of their language or script, for texts of any length whose characters per token
-    by one of the vocabularies lie off the corpus' own band for their language, and for texts of
-    entropy_from tokens or more with a lower entropy than texts of their language and length have.
-    A null language falls back to the script. Rows that repeat are returned as often; an empty
-    table gives no rows.
+    by one of the vocabularies, or whose share of byte tokens, lie off the corpus' own bands for
+    their language, and for texts of entropy_from tokens or more with a lower entropy than texts of
+    their language and length have. A null language falls back to the script. Rows that repeat are
+    returned as often; an empty table gives no rows. A kept column named like a measure is left out.
     """
     work = Workspace(docs.sparkSession, "quality")
-    held = docs.select(*keep, F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).alias("__t"))
-    out = measure(held, [*keep, "__lang"], "__t", vocabulary)
+    held = docs.select(packed(keep), F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).alias("__t"))
+    out = measure(held, ["__keep", "__lang"], "__t", vocabulary)
     out = out.withColumn("base_failed", base_failed()).withColumn("judged", ~F.col("base_failed") & (F.col("n_pieces") >= bands.entropy_from))
     out = out.withColumn("__group", F.coalesce(F.col("__lang"), F.concat(F.lit("script "), F.col("script"))))
     out = work.save(out.withColumn("__length", F.floor(2 * F.log2(F.greatest(F.col("n_pieces"), F.lit(1))))), "measured")
-    measures = [c for c in out.columns if c not in ("__lang", "__group", "__length", "judged")]
+    measures = [c for c in out.columns if c not in ("__keep", "__lang", "__group", "__length", "judged")]
     for own, keys in corpus_bands(out, "__group", "__length", work):
         out = join_small(out, own, keys, "left", own.count())
     kept = ~F.col("base_failed") & in_band(F.col("__lang"), bands) & ~outside_corpus(bands)
-    return out.select(*measures, kept.alias("kept"))
+    return out.select(*unpacked(keep, [*measures, "kept"]), *measures, kept.alias("kept"))
