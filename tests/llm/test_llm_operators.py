@@ -89,6 +89,77 @@ def test_residual_blocks_find_what_the_representative_does_not(spark):
     assert {frozenset(x) for x in got} == {frozenset((k, k + 1)) for k in range(5)}
 
 
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_equal_structure_are_told_apart(spark):
+    """Thue-Morse words clash under any polynomial hash modulo a power of two."""
+    for n in (64, 512, 4096):
+        x, y = thue_morse(n)
+        pad = " ".join(f"p{k}" for k in range(12))
+        rows = [(1, x), (2, y), (3, f"{pad} {x}"), (4, f"{pad} {y}")]
+        got = near_dup.near_duplicates(docs(spark, rows), shingle=5).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == [(i, c) for i, _, c in brute_components(rows, 5)]
+        items = [(1, x), (2, " ".join([pad, y]))]
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        got = decontaminate.contamination(docs(spark, rows), bench).collect()
+        assert sorted(tuple(r)[:6] for r in got) == sorted(brute_hits(rows, items))
+        text = f"{x}\n{y}\n{x}\n" + f"1 2 3 {x} 5 " * 2 + f"1 2 3 {y} 5 "
+        r = quality.quality(docs(spark, [(1, text)]), ["doc_id"]).first()
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute_quality(text)
+
+
+def test_shingles_of_any_size(spark):
+    rows = [(1, "a b c d e f g h i j k l m n o p"), (2, "a b c d e f g h i j k l m n o p"), (3, "a b c d e f g h i j k l m n o"), (4, " ".join(f"w{k}" for k in range(90)))]
+    for size in (1, 15, 17, 80):
+        got = near_dup.near_duplicates(docs(spark, rows), shingle=size).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows, size))
+
+
+def test_a_large_bucket_on_one_template(spark):
+    """Texts of similarity 0.7 on one template, some of them with a near copy, all in the same buckets."""
+    rng = random.Random(12)
+    template = [f"t{k}" for k in range(170)]
+    rows = []
+    for k in range(150):
+        own = [f"d{k}x{j}" for j in range(30)]
+        rows.append((2 * k, " ".join(template + own)))
+        if k % 10 == 0:
+            copy = list(template + own)
+            copy[-1 - rng.randrange(3)] = "changed"
+            rows.append((2 * k + 1, " ".join(copy)))
+    made = docs(spark, rows)
+    want = [(i, c) for i, _, c in brute_components(rows, 4)]
+    for options in ({}, {"block_shingles": 2000, "block_rows": 20}, {"block_shingles": 2000, "block_rows": 20, "cells": 7}):
+        got = near_dup.near_duplicates(made, shingle=4, bands=24, per_band=1, **options).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == sorted(want)
+    assert sum(i != c for i, c in want) == 15
+
+
+def test_prefixes_hold_a_common_shingle():
+    rng = random.Random(13)
+    for _ in range(2000):
+        a = set(rng.sample(range(60), rng.randint(1, 40)))
+        b = {x for x in a if rng.random() < 0.9} | set(rng.sample(range(60), rng.randint(0, 4)))
+        if not b or 100 * len(a & b) < 80 * len(a | b):
+            continue
+        small, large = sorted((a, b), key=len)
+        assert set(sorted(large)[: near_dup.prefix_sizes(len(large), 80)[0]]) & set(sorted(small)[: near_dup.prefix_sizes(len(small), 80)[1]])
+
+
+def test_one_row_of_each_group_stays(spark):
+    text, near = " ".join(f"w{k}" for k in range(60)), " ".join(f"w{k}" for k in range(59)) + " x"
+    rows = [(1, text), (1, text), (2, near), (2, "a text of its own that is like no other"), (None, text), (3, None), (3, None), (4, ""), (None, "two null rows only"), (None, "two null rows only")]
+    made = docs(spark, rows).withColumn("at", F.monotonically_increasing_id()).withColumn("component", F.lit(3))
+    place = {r.at: (r.doc_id, r.text) for r in made.collect()}
+    gone = sorted(repr(place[r.at]) for r in near_dup.duplicate_rows(made, ["at"]).collect())
+    assert gone == sorted(map(repr, [(1, text), (2, near), (None, text), (None, "two null rows only")]))
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dup.near_duplicates(docs(spark, [])).count() == 0
 
@@ -135,6 +206,41 @@ def brute_hits(texts, items, size=10):
     return out
 
 
+def brute_near(texts, items, size=10, slack=2):
+    """(id, n_near, near_items, near_runs) of each text, by trying every place of a window's rarest word."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    split = [(i, word.findall(lower(t))) for i, t in texts]
+    freq = Counter(x for _, t in split for x in t)
+    windows = {}
+    for i, t in items:
+        own = word.findall(lower(t))
+        n = min(size, len(own))
+        for k in range(len(own) - n + 1 if n and i is not None else 0):
+            windows.setdefault(tuple(own[k : k + n]), set()).add(str(i))
+    out = []
+    for i, t in split:
+        near, ranges, found = 0, [], set()
+        for win, names in windows.items():
+            if not set(win) <= set(t) or any(tuple(t[k : k + len(win)]) == win for k in range(len(t))):
+                continue
+            lead, own = min(range(len(win)), key=lambda k: (freq[win[k]], k)), []  # noqa: B023
+            for p in (p for p, x in enumerate(t) if x == win[lead]):
+                at = [[j for j in range(max(0, p - lead + k - slack), min(len(t), p - lead + k + slack + 1)) if t[j] == x] for k, x in enumerate(win)]
+                if all(at):
+                    own.append((min(map(min, at)), max(map(max, at)) + 1))
+            near += bool(own)
+            found |= names if own else set()
+            ranges += own
+        runs = []
+        for a, b in sorted(ranges):
+            if runs and a <= runs[-1][1]:
+                runs[-1][1] = max(b, runs[-1][1])
+            else:
+                runs.append([a, b])
+        out.append((i, near, ",".join(sorted(found)), ",".join(f"{a}:{b}" for a, b in runs)))
+    return out
+
+
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(4)
     words = [f"w{k}" for k in range(40)]
@@ -149,8 +255,9 @@ def test_decontamination_against_brute_force(spark):
     texts += [(100, None), (101, ""), (102, "Solo, SOLO! é"), (103, "a rare-short ITEM"), (104, "w1"), (104, "w1"), (105, items[0][1] + " " + items[0][1])]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
     for options in ({}, {"slice_windows": 60}):
-        got = decontaminate.contamination(docs(spark, texts), bench, **options).drop("n_near").collect()
-        assert sorted(map(tuple, got)) == sorted(brute_hits(texts, items))
+        got = decontaminate.contamination(docs(spark, texts), bench, **options).collect()
+        assert sorted(tuple(r)[:6] for r in got) == sorted(brute_hits(texts, items))
+        assert sorted(tuple(r)[:1] + tuple(r)[6:] for r in got) == sorted(brute_near(texts, items))
     assert decontaminate.contamination(docs(spark, []), bench).count() == 0
     none = decontaminate.contamination(docs(spark, texts[:3]), bench.limit(0)).collect()
     assert [r.contaminated for r in none] == [False] * 3
@@ -175,9 +282,9 @@ def test_proximity_names_items_and_places(spark):
         own = w[:put] + ["odd"] * (k % 3) + w[put:]
         texts.append((k, " ".join(["pad"] * at + own + ["pad"] * 3)))
         # one or two words inserted are within the slack of 2, and are no exact match
-        want[k] = (1, len(own), str(i), f"{at}:{at + len(own)}") if k % 3 else (0, 0, "", "")
+        want[k] = (1, str(i), f"{at}:{at + len(own)}") if k % 3 else (0, "", "")
     for options in ({}, {"slice_windows": 3}):
-        got = {r.doc_id: tuple(r)[1:] for r in decontaminate.proximity(docs(spark, texts), bench, **options).collect()}
+        got = {r.doc_id: (r.n_near, r.near_items, r.near_runs) for r in decontaminate.contamination(docs(spark, texts), bench, **options).collect()}
         assert got == want
 
 
@@ -334,9 +441,9 @@ def test_ownership_parts_examples_from_live_secrets(spark):
     example, own = "0123456789abcdef" * 2, "fedcba9876543210" * 2
     rows = [(k, f"k {example}", f"owner{k}", "r") for k in range(6)] + [(10, f"k {own} {own}", "owner0", "r"), (11, f"{own} é", "owner0", "r2"), (12, None, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
-    got = {r.doc_id: r for r in secrets.scan_secrets(df, ["doc_id"], repo_col="repo").collect()}
+    got = {r.doc_id: r for r in secrets.scan_secrets(df, ["doc_id"], repo=F.col("repo")).collect()}
     assert got[1].spans[0].example and not got[1].spans[0].live and all(s.live for s in got[10].spans) and got[12].spans == []
-    out = {r.doc_id: r.text for r in secrets.redact(df, repo_col="repo").collect()}
+    out = {r.doc_id: r.text for r in secrets.redact(df, repo=F.col("repo")).collect()}
     assert out[1] == f"k {example}" and out[10] == "k [SECRET] [SECRET]" and out[11] == "[SECRET] é" and out[12] is None
     over = spark.createDataFrame([(1, f"a token = \"{own}\" b", "o")], "doc_id long, text string, source string")
     assert secrets.redact(over).first().text == 'a [SECRET]" b'
@@ -381,6 +488,30 @@ def test_contexts_find_unseen_identifiers(spark):
     assert got[10] == "likely_card:13:29" and got[11] == ""
 
 
+def test_found_identifiers_make_other_contexts_sure(spark):
+    """`account:` follows seeds; what it finds makes `konto:` sure, which has no seed of its own."""
+    cards = ["4111111111111111", "5500005555555559", "340000000000009", "6011000000000004", "4012888888881881", "5105105105105100", "378282246310005", "30569309025904"]
+    odd = [f"ZX{k}0098A" for k in range(4)]
+    rows = [(k, f"my account: {c} x") for k, c in enumerate(cards)] + [(100 + k, f"my account: {x} x") for k, x in enumerate(odd)] + [(200 + k, f"mein konto: {x} x") for k, x in enumerate(odd)]
+    rows += [(300, "mein konto: (030) 555-1234 x"), (301, "mein konto: ann (at) host ok"), (302, "mein haus: ZX00098A x"), (303, None)]
+    got = {r.doc_id: r.spans for r in pii.personal_data_digests(docs(spark, rows), confidence=0.4).collect()}
+    assert got[100] == "likely_card:12:20" and got[200] == "likely_card:12:20" and got[300] == "likely_card:12:26" and got[301] == "likely_card:12:25" and got[302] == got[303] == ""
+    assert {r.doc_id: r.spans for r in pii.personal_data_digests(docs(spark, rows), confidence=0.4, rounds=0).collect()}[200] == ""
+
+
+def test_many_spans_and_touching_candidates(spark):
+    rows = [(1, "10.0.0.1 " * 100_000), (2, "a1b2c3d4 x@y.zz 12345678 " * 20_000)]
+    got = {r.doc_id: r for r in pii.personal_data_digests(docs(spark, rows)).collect()}
+    assert got[1].n_ip == 100_000 and got[2].n_email == 20_000
+    assert got[1].base_sha256 == hashlib.sha256(",".join(f"ip:{9 * k}:{9 * k + 8}" for k in range(100_000)).encode()).hexdigest()
+    rng = random.Random(14)
+    spans = [[(a, a + rng.randint(1, 9)) for a in sorted(rng.sample(range(3000), 200))] for _ in range(2)]
+    form = lambda xs: [(a, 0, b, "v", "") for a, b in xs]
+    df = spark.createDataFrame([(form(spans[0]), form(spans[1]))], f"more {pii.SPAN}, base {pii.SPAN}")
+    out = df.select(pii.apart(F.col("more"), F.col("base")).alias("x")).first().x
+    assert sorted((x.start, x.stop) for x in out) == sorted((a, b) for a, b in spans[0] if not any(c < b and d > a for c, d in spans[1]))
+
+
 def test_personal_data_runs_no_python(spark):
     plan = pii.personal_data_digests(docs(spark, [(1, "a@b.cc")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
