@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgraph.llm.common import Workspace, join_small
@@ -33,6 +33,8 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 DATE = "2024-01-01T00:00:00Z"
 #: A record is compressed as one gzip member of less than this many bytes of content.
 MEMBER_BYTES = 1 << 24
+#: Fixed value: how zlib starts a member that has no name or time.
+MEMBER_HEAD = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03"
 #: Parsed records that go on together.
 BATCH_BYTES = 4 << 20
 
@@ -45,7 +47,7 @@ def to_chunks(payload: bytes, size: int) -> bytes:
 
 def from_chunks(body: bytes) -> bytes:
     """The payload of a chunked body; ValueError if the framing is broken. Extensions and trailers are skipped."""
-    out, at = [], 0
+    out, at, view = [], 0, memoryview(body)
     while True:
         end = body.find(b"\r\n", at)
         if end < 0:
@@ -56,7 +58,7 @@ def from_chunks(body: bytes) -> bytes:
             return b"".join(out)
         if at + size + 2 > len(body) or body[at + size : at + size + 2] != b"\r\n":
             raise ValueError("a chunk is cut off")
-        out.append(body[at : at + size])
+        out.append(view[at : at + size])
         at += size + 2
 
 
@@ -85,7 +87,7 @@ def members(raw: bytes) -> bytes:
         raise ValueError("a segment is too long for one member")
     squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
     out = squeeze.compress(raw) + squeeze.flush()
-    assert out[-1] == 0
+    assert out[-1] == 0 and out.startswith(MEMBER_HEAD)
     return out[:-1]
 
 
@@ -159,6 +161,26 @@ def inflate(content: bytes) -> Iterator[bytes]:
         view = view[len(view) - len(d.unused_data) :] if d.unused_data else view[:0]
 
 
+def member_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(content): the members of the archives of `write_archives`, one a row, whatever the files' size.
+
+    Every member starts with the same ten bytes, which Spark's text reader takes for the line
+    separator: so a file is split between tasks at member bounds and never held as a whole. Should
+    compressed data hold these bytes by chance (once in 2 ** 80 places), the cut shows, as the part
+    before it isn't a whole member.
+    """
+    return spark.read.option("lineSep", MEMBER_HEAD.decode("latin-1")).option("encoding", "ISO-8859-1").option("pathGlobFilter", "part-*.txt").text(path).select(F.col("value").cast("binary").alias("content")).where(F.octet_length("content") > 0)
+
+
+def inflate_member(tail: bytes) -> bytes:
+    """The content of a member of which the head is left out."""
+    d = zlib.decompressobj(31)
+    out = d.decompress(MEMBER_HEAD + tail)
+    if not d.eof or d.unused_data.strip(b"\x00"):
+        raise ValueError("no whole member between two heads")
+    return out
+
+
 def records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(lower-cased header fields, block) of each record of a stretch of an archive."""
     at = 0
@@ -221,46 +243,57 @@ def parse_record(fields: dict[str, str], block: bytes) -> dict | None:
     return row | {"digest": digest, "n": n, "good": good}
 
 
-def read_archives(spark, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to and good of each page record.
 
     A whole record is decoded where it is parsed, so only its figures go on; segments travel with
     their bytes to the record they continue. A group is one record, so its size is that of a
     page. good is false, and the length null, if segments are missing or double, their lengths
     don't add up to the total, the framing is broken, or the digest differs.
+
+    Archives of `write_archives` are read member by member. With whole_files, any archives are, plain
+    or of gzip members of any form, each file in one piece, so a file has to fit in a task.
     """
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows_of(raws: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
         kinds = [("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("kind", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("digest", pa.string()), ("n", pa.int64()), ("good", pa.bool_()), ("block", pa.binary())]
         schema, out, held = pa.schema(kinds), [], 0
-        for batch in batches:
-            for content in batch.column(0):
-                for raw in inflate(content.as_buffer().to_pybytes()):
-                    for fields, block in records(raw):
-                        if (row := parse_record(fields, block)) is not None:
-                            out.append(row)
-                            held += 200 + len(row["block"] or b"")
-                        if held > BATCH_BYTES:
-                            yield pa.RecordBatch.from_pylist(out, schema)
-                            out, held = [], 0
+        for raw in raws:
+            for fields, block in records(raw):
+                if (row := parse_record(fields, block)) is not None:
+                    out.append(row)
+                    held += 200 + len(row["block"] or b"")
+                if held > BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(out, schema)
+                    out, held = [], 0
         yield pa.RecordBatch.from_pylist(out, schema)
 
-    parsed = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(parse, PARSED)
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        contents = (x.as_buffer() for batch in batches for x in batch.column(0))
+        yield from rows_of(raw for x in contents for raw in (inflate(x.to_pybytes()) if whole_files else [inflate_member(x.to_pybytes())]))
+
+    source = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content") if whole_files else member_rows(spark, path)
+    parsed = source.mapInArrow(parse, PARSED)
     part = F.when(F.col("segment").isNotNull(), F.struct("segment", "block"))
     whole = parsed.groupBy("origin").agg(*[F.max(c).alias(c) for c in ("kind", "page_id", "refers_to", "digest", "n", "total", "good")], F.array_sort(F.collect_list(part)).alias("parts")).where("kind is not null")
     numbers = F.transform("parts", lambda p: p.segment)
-    block = F.when(F.size("parts") > 0, F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p.block)))
-    complete = (numbers == F.sequence(F.lit(1), F.greatest(F.size("parts"), F.lit(1)))) & (F.octet_length(block) == F.col("total"))
-    whole = whole.select("page_id", "n", "digest", "kind", "refers_to", "good", block.alias("block"), F.coalesce(complete, F.lit(False)).alias("complete"))
+    length = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + F.octet_length(p.block))
+    complete = (numbers == F.sequence(F.lit(1), F.greatest(F.size("parts"), F.lit(1)))) & (length == F.col("total"))
+    blocks = F.when(F.size("parts") > 0, F.transform("parts", lambda p: p.block))
+    whole = whole.select("page_id", "n", "digest", "kind", "refers_to", "good", blocks.alias("blocks"), F.coalesce(complete, F.lit(False)).alias("complete"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["page_id", "n", "digest", "kind", "refers_to", "good"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
+        result = [x.split()[0] for x in RESULT.split(", ")]
         for batch in batches:
-            rows = batch.to_pylist()
-            for row in rows:
-                if (raw := row.pop("block")) is not None:
-                    row["digest"], row["n"], row["good"] = _payload(raw, row["digest"]) if row["complete"] else (row["digest"], None, False)
-            kinds = [("page_id", pa.int64()), ("n", pa.int64()), ("digest", pa.string()), ("kind", pa.string()), ("refers_to", pa.int64()), ("good", pa.bool_())]
-            yield pa.RecordBatch.from_pylist([{k: r[k] for k, _ in kinds} for r in rows], pa.schema(kinds)).rename_columns([x.split()[0] for x in RESULT.split(", ")])
+            rows = batch.select(names).to_pylist()
+            for row, parts, whole_one in zip(rows, batch.column(6), batch.column(7), strict=True):
+                if parts.is_valid:
+                    # the parts are joined once, from views of the batch
+                    raw = b"".join(memoryview(p.as_buffer()) for p in parts.values) if whole_one.as_py() else None
+                    row["digest"], row["n"], row["good"] = _payload(raw, row["digest"]) if raw is not None else (row["digest"], None, False)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in zip(names, kinds, strict=True)], names=result)
 
     return whole.mapInArrow(decode, RESULT)
 
