@@ -99,11 +99,11 @@ ORACLE_SQL: dict[str, str] = {
         FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
         JOIN (SELECT u, min(r) AS component_id FROM reach GROUP BY u) c ON c.u = d.doc_id""",
     "op6_chat_rotation": """
-        WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text, turn // 64 AS segment FROM conversations),
+        WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text, 0 AS segment FROM conversations),
         who AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
         p AS (SELECT t.conv_id, perspective, segment, turn, speaker, text, speaker = perspective AS mine,
-                     '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || speaker END || chr(10) AS head,
-                     text || '<|im_end|>' || chr(10) AS body
+                     '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || regexp_replace(regexp_replace(speaker, '<(\\\\*)\\|', '<\\1\\\\|', 'g'), '[\\r\\n]', ' ', 'g') END || chr(10) AS head,
+                     regexp_replace(text, '<(\\\\*)\\|', '<\\1\\\\|', 'g') || '<|im_end|>' || chr(10) AS body
               FROM t JOIN who ON t.conv_id = who.conv_id),
         o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, segment ORDER BY turn, speaker, text ROWS UNBOUNDED PRECEDING) AS stop FROM p)
         SELECT conv_id, perspective, segment, count(*) AS n_turns, count(*) FILTER (mine) AS n_own,
