@@ -1,4 +1,10 @@
-"""The corpus pipeline: documents through five filters and encoders, each written and read again."""
+"""The corpus pipeline: documents through five filters and encoders, each written and read again.
+
+Every stage takes rows as they come: a null, empty or white text is a row like any other, ids may
+repeat or be null, equal rows are separate rows, columns beyond those of documents are passed on
+whatever their names, and an empty table stays empty. Rows are told apart by their place in the
+table, never by doc_id, so a decision on one row touches no other.
+"""
 
 from __future__ import annotations
 
@@ -6,40 +12,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgraph.llm.bpe import encoding_digests
-from corpusgraph.llm.common import Workspace, join_small
+from corpusgraph.llm.common import ROW_KEY, Workspace, join_small, scratch, with_row_key
 from corpusgraph.llm.decontaminate import find_overlaps
-from corpusgraph.llm.near_dup import near_duplicates
+from corpusgraph.llm.near_dup import duplicate_rows
 from corpusgraph.llm.quality import quality
 from corpusgraph.llm.secrets import redact
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def without(docs: DataFrame, gone: DataFrame, work: Workspace, columns: list[str]) -> DataFrame:
+    """docs less the rows of the given keys. Only where these are too many to broadcast do texts move."""
+    gone = work.save(gone.select(*ROW_KEY), "gone")
+    return join_small(docs, gone, ROW_KEY, "left_anti", gone.count()).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return quality(docs.select(*COLUMNS, F.col("text").alias("__text")), COLUMNS, "__text").where("kept").select(*COLUMNS)
+    """Documents that the quality rules reject go: among them null, empty and white texts. Equal rows
+    have one verdict."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    judged = quality(docs.select(row, F.col("text").alias("__text"), F.col("lang").alias("__language")), ["__row"], "__text", "__language")
+    return judged.where("kept").select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that of the smallest doc_id."""
+    """One row of each group of near duplicates stays: that of the smallest doc_id, an id before none,
+    and of equal rows the first. Null, empty and white texts are like no other, so all of them stay."""
     work = Workspace(spark, "near-dedup")
-    gone = work.save(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
-    return join_small(docs, gone, "doc_id", "left_anti", gone.count()).select(*COLUMNS)
+    keyed = with_row_key(docs, work)
+    return without(keyed, duplicate_rows(keyed, ROW_KEY), work, docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of the benchmark go."""
+    """Documents with a passage of the benchmark go; proximity matches alone are no reason. Texts
+    without words, null ones among them, stay. Without benchmark items all stay."""
+    work = Workspace(spark, "decontamination")
+    keyed = with_row_key(docs, work)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return find_overlaps(docs.select(*COLUMNS, F.col("text").alias("__text")), benchmark, COLUMNS, "__text").where(F.size("runs") == 0).select(*COLUMNS)
+    found = find_overlaps(keyed, benchmark, ROW_KEY, matched_only=True).where(F.size("runs") > 0)
+    return without(keyed, found, work, docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets that are no widely copied examples are masked; n_chars follows the new text."""
-    return redact(docs.select(*COLUMNS)).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+    """Secrets that are no widely copied examples are masked; n_chars follows the new text. Null texts
+    stay null, with null n_chars, and all rows stay."""
+    return redact(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The number of tokens of each document and the digests of its ids and of the decoded text."""
+    """The number of tokens of each document and the digests of its ids and of the decoded text; a null
+    text is empty. Every row gives one."""
     return encoding_digests(docs)
 
 
@@ -56,11 +76,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result is written to the shared folder and read again."""
+    """Applies the stages to documents; each result is written to the shared folder and read again,
+    and what its stage and the one before left there is deleted."""
     work = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = work.save(stage(spark, docs, sf_dir), f"stage-{k}")
+        with scratch():
+            docs = work.save(stage(spark, docs, sf_dir), f"stage-{k}")
         if k:
             work.drop(f"stage-{k - 1}")
     return docs
