@@ -1,6 +1,7 @@
 """The opN queries against their SQL, and the pipeline against a run of its parts by hand."""
 
 import hashlib
+from pathlib import Path
 
 import pytest
 from conftest import same_rows
@@ -51,3 +52,57 @@ def test_stages_return_the_columns_of_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(30)
     for _, stage in p.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, base int, kept string, spans string, component int, `script` string"
+
+
+def odd_rows():
+    prose = "the old river runs along a quiet valley where seven mills once stood and people came to sell their bread on market days before winter closed all roads"
+    token = "token = q8Zt4LmX92vB7k"
+    rows = [(1, prose), (1, prose), (1, prose + " and snow fell"), (1, "a wholly different text about ships that sail far beyond the western islands each spring to fish for cod"), (2, prose), (None, prose), (None, None), (3, None), (3, None), (4, ""), (5, " \n\t"), (6, f"quiet valley mills by the stream keep their {token} near the old door for everybody who comes by night"), (7, None)]
+    return [(i, t, None if i == 2 else "en", None if i == 6 else "src", None if t is None else len(t), 1, "x", None, 5, "q") for i, t in rows]
+
+
+def test_stages_take_odd_rows(spark, sf):
+    """Nulls in any column, repeated rows and ids, empty texts, and extra columns of names used inside."""
+    import corpus_pipeline as p
+
+    rows = odd_rows()
+    docs = spark.createDataFrame(rows, ODD)
+    text = lambda rs: sorted((repr(r.doc_id), repr(r.text)) for r in rs)
+    same = lambda rs: sorted((repr(r[0]), repr(r[1])) for r in rs)
+    kept = p.quality_rules(spark, docs, sf)
+    assert kept.columns == docs.columns and text(kept.collect()) == same([r for r in rows if r[1] and r[1].strip()])
+    left = p.near_dedup(spark, docs, sf)
+    assert left.columns == docs.columns
+    # of the five rows of one text or nearly so, one stays; the other text of id 1 does too
+    assert text(left.collect()) == same([rows[0], rows[3], *rows[6:]])
+    clean = p.decontamination(spark, docs, sf)
+    assert clean.columns == docs.columns and text(clean.collect()) == same(rows)
+    masked = p.secret_scan(spark, docs, sf)
+    assert masked.columns == docs.columns
+    want = [(r[0], r[1] and r[1].replace("token = q8Zt4LmX92vB7k", "[SECRET]")) for r in rows]
+    got = masked.collect()
+    assert text(got) == same(want) and all(r.n_chars == (None if r.text is None else len(r.text)) and r.kept == "x" for r in got)
+    assert p.bpe_encoding(spark, docs, sf).count() == len(rows)
+
+
+def test_stages_of_an_empty_table(spark, sf):
+    import corpus_pipeline as p
+
+    docs = spark.createDataFrame([], ODD)
+    for _, stage in p.STAGES:
+        assert stage(spark, docs, sf).count() == 0
+
+
+def test_pipeline_leaves_only_its_result(spark, sf):
+    import corpus_pipeline as p
+    from corpusgraph.llm.common import shared_dir
+
+    base = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(base.iterdir())
+    out = p.run(spark, sf)
+    assert out.count() > 0
+    new = set(base.iterdir()) - before
+    assert len(new) == 1 and [x.name for x in new.pop().iterdir()] == ["stage-4"]
