@@ -7,6 +7,7 @@ brings them to the driver, for the small graphs of a reader. `save` writes them
 from __future__ import annotations
 
 import json
+import string
 from collections.abc import Callable
 from xml.sax.saxutils import escape
 
@@ -17,6 +18,8 @@ from corpusgraph.functions import text as X
 from corpusgraph.functions.paths import any_of, export_pattern
 from corpusgraph.operators.graph import LABELS
 
+#: Names of labels are kept in ASCII lower case, see functions.text.normal_name.
+ASCII_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 #: Sections in the order of an export, with their columns.
 SECTIONS = {
     "files": ["path", "name", "extension", "mime_type", "language", "size", "summary"],
@@ -36,7 +39,7 @@ def filtered(frames: dict[str, DataFrame], patterns: list[str] | None = None, ta
         files = files.where(any_of([export_pattern(p, F.col("path")) for p in patterns]))
     for kind, names in (("tags", tags), ("topics", topics)):
         if names:
-            own = frames["edges"].where((F.col("rel") == LABELS[kind][0]) & F.col("dst_key").isin([n.lower() for n in names]))
+            own = frames["edges"].where((F.col("rel") == LABELS[kind][0]) & F.col("dst_key").isin([n.translate(ASCII_LOWER) for n in names]))
             files = files.join(own.select(F.col("src_key").alias("path")), "path", "left_semi")
     if max_files:
         files = files.orderBy("path").limit(max_files)

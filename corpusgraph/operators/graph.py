@@ -160,9 +160,15 @@ def file_relations(files: DataFrame, edge_frame: DataFrame) -> DataFrame:
     return files.join(per_file, "path", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0).cast("long")))
 
 
-def hits_with_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Search hits (chunk_id, score) with their chunks; hits are at most a top k, which is broadcast."""
-    return chunks.join(F.broadcast(hits), chunks["id"] == hits["chunk_id"])
+#: Rows of a side that is broadcast at most.
+BROADCAST_ROWS = 200_000
+
+
+def hits_with_chunks(hits: DataFrame, chunks: DataFrame, most: int | None = None) -> DataFrame:
+    """Search hits (chunk_id, score) with their chunks. Where `most` bounds the hits, as a top k does, and
+    is small enough, they are broadcast; else Spark chooses by their size."""
+    hits = F.broadcast(hits) if most is not None and most <= BROADCAST_ROWS else hits
+    return chunks.join(hits, chunks["id"] == hits["chunk_id"])
 
 
 def has_embedding(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:

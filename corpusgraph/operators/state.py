@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import paths as P
-from corpusgraph.operators.graph import upsert
+from corpusgraph.operators.graph import BROADCAST_ROWS, upsert
 
 
 class PathNotFound(LookupError):
@@ -161,7 +161,8 @@ def dequeue(queue: DataFrame, n: int, now: Column) -> tuple[DataFrame, DataFrame
     """(batch, queue): the n oldest pending rows, which are inflight afterwards."""
     batch = queue.where("status = 'pending'").orderBy("enqueued_at", "id").limit(n)
     taken = batch.select(F.col("id").alias("__id"), F.lit(True).alias("__t"))
-    rest = queue.join(F.broadcast(taken), F.col("id") == F.col("__id"), "left").withColumn("status", F.when(F.col("__t"), "inflight").otherwise(F.col("status")))
+    taken = F.broadcast(taken) if n <= BROADCAST_ROWS else taken
+    rest = queue.join(taken, F.col("id") == F.col("__id"), "left").withColumn("status", F.when(F.col("__t"), "inflight").otherwise(F.col("status")))
     return batch.withColumn("status", F.lit("inflight")), rest.withColumn("updated_at", F.when(F.col("__t"), now).otherwise(F.col("updated_at"))).select(*queue.columns)
 
 

@@ -18,7 +18,7 @@ from corpusgraph.operators.chunking import Options
 from corpusgraph.operators.chunking.udf import chunk_files
 from corpusgraph.operators.export import render
 from corpusgraph.providers import EmbeddingsProvider, SemanticProvider, analyze, embed
-from corpusgraph.sources.files import described, root_health, walk
+from corpusgraph.sources.files import described, listed_all, root_health, with_content
 
 Stage = Callable[..., DataFrame]
 
@@ -43,17 +43,36 @@ def embedding_stage(chunks: DataFrame, provider: EmbeddingsProvider) -> DataFram
     return embed(chunks.select("file_path", F.col("id").alias("chunk_id"), "content"), ["file_path", "chunk_id"], "content", provider)
 
 
-def ingest(raw: DataFrame, semantic: SemanticProvider | None = None, embeddings: EmbeddingsProvider | None = None, options: Options = Options(), keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df.persist(), stages: dict[str, Stage] | None = None) -> dict[str, DataFrame]:
+class Results(dict):
+    """The frames of an ingest, and what is persisted for them."""
+
+    held: list[DataFrame]
+
+    def release(self) -> None:
+        """Lets go of what is persisted, once the frames are written."""
+        for df in self.held:
+            df.unpersist()
+
+
+def ingest(raw: DataFrame, semantic: SemanticProvider | None = None, embeddings: EmbeddingsProvider | None = None, options: Options = Options(), keep: Callable[[DataFrame, str], DataFrame] | None = None, stages: dict[str, Stage] | None = None) -> Results:
     """The frames that `operators.graph.persist_files` takes, of (path, size, mod_time, content) rows.
 
     keep holds what several outputs read, so that providers are called once; a Store's write and
-    read fit as well as a persist. stages may replace 'chunk', 'semantic' and 'embed'. Failures of
+    read fit. Without one, frames are persisted until `release` of the result is called. stages may replace 'chunk', 'semantic' and 'embed'. Failures of
     providers are columns of the files, not of the run.
     """
+    held: list[DataFrame] = []
+
+    def persisted(df: DataFrame, name: str) -> DataFrame:
+        held.append(df.persist())
+        return held[-1]
+
+    keep = keep or persisted
     stage = {"chunk": chunk_stage, "semantic": semantic_stage, "embed": embedding_stage} | (stages or {})
     files = keep(described(raw), "files")
     chunks = keep(stage["chunk"](files, options), "chunks")
-    out = {"chunks": chunks.drop("chunker", "warnings")}
+    out = Results({"chunks": chunks.drop("chunker", "warnings")})
+    out.held = held
     listed = files.drop("content")
     if semantic is not None:
         s = keep(stage["semantic"](files, chunks, semantic), "semantics")
@@ -94,7 +113,7 @@ def search_memory(frames: dict[str, DataFrame], roots: DataFrame, provider: Embe
     hits = S.search(placed, q, mode=mode)
     if mode == "compat":
         hits = hits.join(alive.withColumnRenamed("path", "file_path"), "file_path", "left_semi")
-    found = G.hits_with_chunks(hits.select("chunk_id", "score", "rank"), frames["chunks"])
+    found = G.hits_with_chunks(hits.select("chunk_id", "score", "rank"), frames["chunks"], S.clamp(q.top_k, 1, 50, 10))
     return found.select("rank", "score", F.col("file_path").alias("path"), "chunk_id", "start_offset", "end_offset", F.substring(X.compact(F.col("content")), 1, S.clamp(q.snippet_chars, 1, 2000, 400)).alias("snippet")).orderBy("rank")
 
 
@@ -136,17 +155,18 @@ def rebuild(spark: SparkSession, frames: dict[str, DataFrame], configs: dict[str
     """
     live = {r: c for r, c in configs.items() if root_health(r) != "missing"}
     roots = spark.createDataFrame([(P.clean(r),) for r in live], "path string")
-    found = None
-    for r, c in live.items():
-        one = walk(spark, r, c)
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        found = spark.createDataFrame([], "path string, size long, mod_time timestamp, content binary")
-    found = found.dropDuplicates(["path"])
+    found = listed_all(spark, live)
     stale = T.stale_paths(frames["state"], frames["discovery"], found.select("path"), roots).select("path")
     out = G.delete_files(frames, F.lit(False)) if stale.isEmpty() else _without(frames, stale)
-    todo = found if full else L.changed(found, frames["state"])
-    return todo, out
+    return with_content(spark, found if full else L.changed(found, frames["state"])), out
+
+
+def rebuild_periodically(spark: SparkSession, run: Callable[[], object], every: str = "1 hour", checkpoint: str | None = None, once: bool = False):
+    """A query that calls run() at every interval, the first time at once: the schedule is Spark's own
+    trigger, over a source of one row a second. With once it ends after the first call."""
+    ticks = spark.readStream.format("rate").load()
+    out = ticks.writeStream.foreachBatch(lambda df, n: run()).trigger(**({"availableNow": True} if once else {"processingTime": every}))
+    return (out.option("checkpointLocation", checkpoint) if checkpoint else out).start()
 
 
 def _without(frames: dict[str, DataFrame], stale: DataFrame) -> dict[str, DataFrame]:

@@ -80,7 +80,7 @@ class HashedEmbeddings:
 
 
 class RateLimiter:
-    """A token bucket for each Python worker: so many calls a minute, with as many in a burst."""
+    """A token bucket of one task: so many calls a minute, with as many in a burst."""
 
     def __init__(self, per_minute: float, burst: int | None = None, clock=time.monotonic, sleep=time.sleep):
         self.rate, self.most = per_minute / 60, burst or max(1, int(per_minute))
@@ -96,6 +96,11 @@ class RateLimiter:
         self.held -= n
 
 
+def share(df: DataFrame, per_minute: float | None) -> float | None:
+    """The part of a job's limit that each of the tasks that run at the same time may use."""
+    return per_minute / max(1, df.sparkSession.sparkContext.defaultParallelism) if per_minute else None
+
+
 def retried(call, retries: int = 3, base: float = 1.0, sleep=time.sleep):
     """call(), again after failures with doubled delays; the last failure is raised."""
     for attempt in range(retries + 1):
@@ -108,7 +113,10 @@ def retried(call, retries: int = 3, base: float = 1.0, sleep=time.sleep):
 
 
 def embed(df: DataFrame, keep: list[str], text_col: str, provider: EmbeddingsProvider, per_minute: float | None = None, batch: int = 128, retries: int = 3) -> DataFrame:
-    """keep columns, provider, model, dimensions, embedding and error; a failed batch has errors, not rows lost."""
+    """keep columns, provider, model, dimensions, embedding and error; a failed batch has errors, not rows lost.
+
+    per_minute is the limit of the whole job: each task takes its share of it (see share)."""
+    per_minute = share(df, per_minute)
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +140,10 @@ def embed(df: DataFrame, keep: list[str], text_col: str, provider: EmbeddingsPro
 
 
 def analyze(df: DataFrame, keep: list[str], text_col: str, provider: SemanticProvider, per_minute: float | None = None, retries: int = 3) -> DataFrame:
-    """keep columns, summary, tags, topics, entities, references, complexity and error of each text."""
+    """keep columns, summary, tags, topics, entities, references, complexity and error of each text.
+
+    per_minute is the limit of the whole job, as in embed."""
+    per_minute = share(df, per_minute)
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
     pair = lambda a, b: pa.list_(pa.struct([a, b]))
     kinds = {

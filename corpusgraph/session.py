@@ -28,3 +28,11 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, p.relative_to(ROOT))
     sc.addPyFile(str(zipped))
     sc._corpusgraph_shipped = True
+
+
+def bound_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Bounds what goes to Python at once, for sessions that run the named queries: whole texts are
+    held several times while they are worked on. A bound that the session already sets stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in dict(spark.sparkContext.getConf().getAll()) and spark.conf.get(name) in ("67108864b", "64m", "64mb"):
+        spark.conf.set(name, most)

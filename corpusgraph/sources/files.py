@@ -32,25 +32,76 @@ def plain_path(uri: Column) -> Column:
     return F.regexp_replace(uri, r"^[a-z][a-z0-9+.-]*:(?://[^/]*)?", "")
 
 
-def walk(spark: SparkSession, root: str, config: PathConfig = PathConfig(), uri: str | None = None) -> DataFrame:
-    """(path, size, mod_time, content) of the files under root that pass; symlinks aren't followed by
-    the file systems that know them. uri is where the root lies, if that isn't a plain path."""
+#: Files of more bytes aren't read: they are known by their metadata only.
+LARGEST_READ = 100 << 20
+LISTING = "uri string, path string, size long, mod_time timestamp"
+FOUND = "path string, size long, mod_time timestamp, content binary"
+
+
+def listed(spark: SparkSession, root: str, config: PathConfig = PathConfig(), uri: str | None = None) -> DataFrame:
+    """(uri, path, size, mod_time) of the files under root that pass, without a look into any of them;
+    symlinks aren't followed by the file systems that know them. uri is where the root lies, if that
+    isn't a plain path."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(uri or root)
-    own = raw.select(plain_path(F.col("path")).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mod_time"), "content")
+    own = raw.select(F.col("path").alias("uri"), plain_path(F.col("path")).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mod_time"))
     return own.where(path_passes(F.col("path"), root, config))
 
 
-def walk_all(spark: SparkSession, roots: dict[str, PathConfig]) -> DataFrame:
-    out = None
+def with_content(spark: SparkSession, listing: DataFrame, most: int = LARGEST_READ) -> DataFrame:
+    """(path, size, mod_time, content) of a listing: only its files are opened, and of those of more
+    than `most` bytes the content is null. The listing runs at once: its paths are what Spark's own
+    file index holds on the driver for any scan of these files."""
+    paths = [r.uri for r in listing.where(F.col("size") <= most).select("uri").toLocalIterator()]
+    large = listing.where(F.col("size") > most).select("path", "size", "mod_time", F.lit(None).cast("binary").alias("content"))
+    if not paths:
+        return large
+    # names that look like globs are taken as they are
+    raw = spark.read.format("binaryFile").option("__globPaths__", False).load(paths)
+    return raw.select(plain_path(F.col("path")).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mod_time"), "content").unionByName(large)
+
+
+def walk(spark: SparkSession, root: str, config: PathConfig = PathConfig(), uri: str | None = None) -> DataFrame:
+    """(path, size, mod_time, content) of the files under root that pass (see listed and with_content)."""
+    return with_content(spark, listed(spark, root, config, uri))
+
+
+def listed_all(spark: SparkSession, roots: dict[str, PathConfig]) -> DataFrame:
+    """The listings of several roots; a file under two of them stands once."""
+    out = spark.createDataFrame([], LISTING)
     for root, config in roots.items():
-        one = walk(spark, root, config)
-        out = one if out is None else out.unionByName(one)
-    return out.dropDuplicates(["path"]) if out is not None else spark.createDataFrame([], "path string, size long, mod_time timestamp, content binary")
+        out = out.unionByName(listed(spark, root, config))
+    return out.dropDuplicates(["path"])
+
+
+def walk_all(spark: SparkSession, roots: dict[str, PathConfig]) -> DataFrame:
+    return with_content(spark, listed_all(spark, roots))
 
 
 def walk_changed(spark: SparkSession, root: str, state: DataFrame, config: PathConfig = PathConfig(), semantic: bool = True) -> DataFrame:
-    """The files of a walk that differ from the state; contents are read of these only."""
-    return changed(walk(spark, root, config), state, semantic)
+    """The files of a walk that differ from the state; only these are opened."""
+    return with_content(spark, changed(listed(spark, root, config), state, semantic))
+
+
+def listing_events(before: DataFrame, now: DataFrame) -> DataFrame:
+    """(path, type): what happened between two listings (path, size, mod_time): created, modified and
+    deleted files, and directories that came or went with their files. Run on a schedule, it is the
+    watch of file systems that tell of no changes."""
+    old = before.select("path", F.col("size").alias("__s"), F.col("mod_time").alias("__m"), F.lit(True).alias("__old"))
+    both = now.select("path", "size", "mod_time", F.lit(True).alias("__new")).join(old, "path", "full")
+    same = F.col("size").eqNullSafe(F.col("__s")) & F.col("mod_time").eqNullSafe(F.col("__m"))
+    kind = F.when(F.col("__old").isNull(), "create").when(F.col("__new").isNull(), "delete").when(~same, "modify")
+    files = both.select("path", kind.alias("type")).where("type is not null")
+    above = lambda df: df.select(F.explode(P.ancestors(P.directory(F.col("path")))).alias("path")).distinct()
+    gone, come = above(before).join(above(now), "path", "left_anti"), above(now).join(above(before), "path", "left_anti")
+    folders = come.select("path", F.lit("create directory").alias("type")).unionByName(gone.select("path", F.lit("delete directory").alias("type")))
+    return files.where(~P.editor_noise(F.col("path"))).unionByName(folders)
+
+
+def late_stat(events: DataFrame, listing: DataFrame) -> DataFrame:
+    """events (path, type) with those of files that aren't there any more as deletes."""
+    there = listing.select("path", F.lit(True).alias("__there"))
+    out = events.join(there, "path", "left")
+    return out.withColumn("type", F.when(F.col("__there").isNull() & ~F.col("type").contains("directory"), "delete").otherwise(F.col("type"))).drop("__there")
 
 
 def watch(spark: SparkSession, root: str, config: PathConfig = PathConfig()) -> DataFrame:

@@ -79,10 +79,10 @@ def coalesce_batch(events: DataFrame, debounce_us: int, grace_us: int, path_col:
     return grouped.select("path", F.explode(done).alias("e")).select("path", "e.type", "e.due", "e.n")
 
 
-def coalesce_stream(events: DataFrame, debounce_ms: int, grace_ms: int, watermark: str = "10 seconds", path_col: str = "path", ts_col: str = "ts", type_col: str = "type") -> DataFrame:
+def coalesce_stream(events: DataFrame, debounce_ms: int, grace_ms: int, watermark: str = "10 seconds", path_col: str = "path", ts_col: str = "ts", type_col: str = "type", id_col: str | None = None) -> DataFrame:
     """A stream of (path, type, due) from a stream of events with a TIMESTAMP column.
 
-    Needs the RocksDB state store (see `use_rocksdb`) and a checkpoint at the sink.
+    Equal times of a batch stand in the order of id_col, or as they come without one. Needs the RocksDB state store (see `use_rocksdb`) and a checkpoint at the sink.
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -111,7 +111,7 @@ def coalesce_stream(events: DataFrame, debounce_ms: int, grace_ms: int, watermar
                 self.state.clear()
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            got = pd.concat(list(rows)).sort_values("ts", kind="stable")
+            got = pd.concat(list(rows)).sort_values(["ts", "id"], kind="stable")
             millis = got["ts"].astype("datetime64[ms]").astype("int64")
             before = self._load()
             emitted, after = fold(list(zip(millis.tolist(), got["type"].tolist(), strict=True)), debounce_ms, grace_ms, before)
@@ -128,7 +128,7 @@ def coalesce_stream(events: DataFrame, debounce_ms: int, grace_ms: int, watermar
         def close(self) -> None:
             pass
 
-    own = events.select(F.col(path_col).cast("string").alias("path"), F.col(ts_col).cast("timestamp").alias("ts"), F.col(type_col).alias("type")).where("type is not null")
+    own = events.select(F.col(path_col).cast("string").alias("path"), F.col(ts_col).cast("timestamp").alias("ts"), F.col(type_col).alias("type"), (F.col(id_col) if id_col else F.lit(0)).cast("long").alias("id")).where("type is not null")
     return own.withWatermark("ts", watermark).groupBy("path").transformWithStateInPandas(Coalescer(), "path string, type string, due timestamp", "Append", "EventTime")
 
 
