@@ -58,8 +58,8 @@ def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     kind = df.schema[key].dataType
     schema = StructType([StructField("key", kind), *_parse_datatype_string("sums array<double>, counts array<long>, part int").fields])
 
-    def rows(sums: dict, part: int) -> pa.RecordBatch:
-        columns = [pa.array(list(sums)), pa.array([x.tolist() for x, _ in sums.values()], pa.list_(pa.float64())), pa.array([n.tolist() for _, n in sums.values()], pa.list_(pa.int64())), pa.array([part] * len(sums), pa.int32())]
+    def rows(sums: dict, part: int, key_type: pa.DataType) -> pa.RecordBatch:
+        columns = [pa.array(list(sums), key_type), pa.array([x.tolist() for x, _ in sums.values()], pa.list_(pa.float64())), pa.array([n.tolist() for _, n in sums.values()], pa.list_(pa.int64())), pa.array([part] * len(sums), pa.int32())]
         return pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,10 +72,10 @@ def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
                     known = ~np.isnan(x)
                     _added(sums, k, np.where(known, x, 0.0), known.astype(np.int64))
                 if len(sums) >= HELD_KEYS:
-                    yield rows(sums, part)
+                    yield rows(sums, part, batch.schema.field(0).type)
                     sums = {}
         if sums:
-            yield rows(sums, part)
+            yield rows(sums, part, batch.schema.field(0).type)
 
     def combined(table: pa.Table) -> pa.Table:
         sums: dict = {}

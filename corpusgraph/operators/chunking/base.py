@@ -193,6 +193,10 @@ class Registry:
 
         return add
 
+    def replace(self, name: str, **values) -> None:
+        """Changes what an entry handles."""
+        self.entries = [replace(e, **values) if e.name == name else e for e in self.entries]
+
     def chunk(self, source: Source, options: Options = Options(), routing: str = "full") -> tuple[str, list[Chunk], list[str]]:
         """(chunker used, chunks, warnings). routing 'compat' looks at type and language only, not at the path."""
         seen = source if routing == "full" else replace(source, path="")

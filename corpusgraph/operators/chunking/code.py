@@ -9,9 +9,10 @@ from __future__ import annotations
 import ast
 import re
 from bisect import bisect_right
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from corpusgraph.operators.chunking.base import ChunkError, Options, Part, Source, chunker, lines_of, size
+from corpusgraph.operators.chunking.base import REGISTRY, ChunkError, Options, Part, Source, chunker, lines_of, size
 from corpusgraph.operators.chunking.config import brace_end, with_comments
 
 
@@ -127,18 +128,34 @@ BY_MIME = {
 BY_SUFFIX = {".go": "go", ".py": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".rs": "rust", ".c": "c", ".h": "c", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp"}
 
 
+#: Strategies of further languages: functions of a text that give (start, end, metadata) of its outermost definitions.
+STRATEGIES: dict[str, Callable[[str], list[tuple[int, int, dict]]]] = {"python": python}
+
+
+def register_language(name: str, find: Callable[[str], list[tuple[int, int, dict]]] | Language, mimes: str = "", suffixes: str = "") -> None:
+    """Adds a language, or another strategy for a known one: a function, or the patterns of its definition lines."""
+    if isinstance(find, Language):
+        LANGUAGES[name] = find
+        STRATEGIES.pop(name, None)
+    else:
+        STRATEGIES[name] = find
+    BY_MIME.update({m: name for m in mimes.split()})
+    BY_SUFFIX.update({s: name for s in suffixes.split()})
+    REGISTRY.replace("code", mimes=frozenset(BY_MIME), suffixes=tuple(BY_SUFFIX), languages=frozenset([*LANGUAGES, *STRATEGIES]))
+
+
 def language_of(source: Source) -> str | None:
     """By type, then language name, then extension."""
     suffix = "." + source.path.lower().rsplit(".", 1)[-1] if "." in source.path else ""
     named = source.language.lower()
-    return BY_MIME.get(source.mime.lower()) or (named if named in LANGUAGES or named == "python" else None) or BY_SUFFIX.get(suffix)
+    return BY_MIME.get(source.mime.lower()) or (named if named in LANGUAGES or named in STRATEGIES else None) or BY_SUFFIX.get(suffix)
 
 
 @chunker("code", 100, mimes=" ".join(BY_MIME), suffixes=" ".join(BY_SUFFIX), languages=" ".join([*LANGUAGES, "python"]))
 def code(source: Source, options: Options) -> list[Part]:
     """A part per outermost definition; the rest of the file in parts without a name. Large ones are cut at lines."""
     text, language = source.text, language_of(source)
-    found = python(text) if language == "python" else braces(text, language)
+    found = STRATEGIES[language](text) if language in STRATEGIES else braces(text, language)
     starts = [x.start for x in lines_of(text)]
     line = lambda k: bisect_right(starts, k)
     parts, at = [], 0

@@ -175,6 +175,14 @@ def render(frames: dict[str, DataFrame], fmt: str = "toon", wrap: str = "none",
     return shell(form(filtered(frames, **filters), about or {"version": 1, "exported_at": "1970-01-01T00:00:00Z"}))
 
 
+def index_resource(frames: dict[str, DataFrame], uri: str, about: dict | None = None) -> tuple[str, str]:
+    """(MIME type, content) of the index by its URI: <scheme>://index, in XML, or ://index/xml, /json or
+    /toon. Any other URI raises KeyError."""
+    _, _, place = uri.partition("://")
+    fmt = {"index": "xml", "index/xml": "xml", "index/json": "json", "index/toon": "toon"}[place]
+    return {"xml": "application/xml", "json": "application/json", "toon": "text/plain"}[fmt], render(frames, fmt, about=about)
+
+
 def save(frames: dict[str, DataFrame], path: str, fmt: str = "toon", **filters) -> None:
     """Writes the lines of the export under path, sorted, with a partition per section."""
     line = {"toon": toon_line, "json": json_line, "xml": xml_line}[fmt]

@@ -107,6 +107,18 @@ def delete_subtree(frames: dict[str, DataFrame], prefix: str) -> dict[str, DataF
     return out
 
 
+def upsert_directories(directories: DataFrame, new: DataFrame) -> DataFrame:
+    """Directories by path; name, is_remembered and file_count of new ones are as given."""
+    return upsert(directories, new, ["path"])
+
+
+def delete_directory(directories: DataFrame, edge_frame: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """One directory, not what lies under it, and every edge at either end of it."""
+    p = P.clean(path)
+    at = lambda end: (F.col(f"{end}_label") == "Directory") & (F.col(f"{end}_key") == p)
+    return directories.where(F.col("path") != p), edge_frame.where(~(at("src") | at("dst")))
+
+
 #: The edge and node of each kind of label that files carry.
 LABELS = {"tags": ("HAS_TAG", "Tag"), "topics": ("COVERS_TOPIC", "Topic"), "entities": ("MENTIONS", "Entity")}
 

@@ -195,3 +195,24 @@ def schema_version(migrations: DataFrame) -> DataFrame:
 def bounded_events(events: DataFrame, most: int = 1000) -> DataFrame:
     """The newest events, at most so many, in order: the critical queue, which drops its oldest."""
     return events.orderBy(F.desc("created_at"), F.desc("id")).limit(most).orderBy("created_at", "id")
+
+
+#: The events that must not be lost: only these go through the critical queue.
+CRITICAL = ("path_deleted", "file_discovered")
+
+
+def enqueue_events(queue: DataFrame, new: DataFrame, most: int = 1000) -> DataFrame:
+    """The critical ones of new events (id, event_type, payload, created_at) join the queue."""
+    return bounded_events(queue.unionByName(new.where(F.col("event_type").isin(*CRITICAL)).select(*queue.columns)), most)
+
+
+def dequeue_events(queue: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(batch, queue): the n oldest events, which are out of the queue before they are delivered, so that
+    each is delivered once at most. For delivery once at least, write the queue after the batch is done."""
+    batch = queue.orderBy("created_at", "id").limit(n)
+    return batch, acknowledge(queue, batch)
+
+
+def acknowledge(queue: DataFrame, done: DataFrame) -> DataFrame:
+    """The queue without the events that are done."""
+    return queue.join(done.select("id"), "id", "left_anti").select(*queue.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from corpusgraph.operators import graph as G
 from corpusgraph.operators import search as S
 from corpusgraph.operators import state as T
 from corpusgraph.operators.chunking.udf import chunk_files
+from corpusgraph.plans import formats, services
 from corpusgraph.plans import views as V
 from corpusgraph.providers import HashedEmbeddings, KeywordSemantics, analyze, embed
 from corpusgraph.sources.files import described, lookup, raw_query
@@ -73,9 +75,9 @@ def search_exact(spark: SparkSession, d: str) -> DataFrame:
     return _search(spark, d, "exact")
 
 
-@query(f"WITH {_SCORES}, c AS (SELECT * FROM s ORDER BY score DESC, vec_id LIMIT 20), h AS (SELECT * FROM c WHERE label IN (2, 3) ORDER BY score DESC, vec_id LIMIT 10) SELECT vec_id, label, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM h")
+@query(f"WITH {_SCORES}, c AS (SELECT * FROM s ORDER BY score DESC, vec_id LIMIT 100), h AS (SELECT * FROM c WHERE label IN (2, 3) ORDER BY score DESC, vec_id LIMIT 10) SELECT vec_id, label, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM h")
 def search_compat(spark: SparkSession, d: str) -> DataFrame:
-    return _search(spark, d, "compat", candidates=20)
+    return _search(spark, d, "compat")
 
 
 @query(f"WITH {_SCORES}, h AS (SELECT * FROM s WHERE label IN (2, 3) AND score >= 0.1 ORDER BY score DESC, vec_id LIMIT 50) SELECT vec_id, label, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM h")
@@ -96,15 +98,17 @@ def hits_join_chunks(spark: SparkSession, d: str) -> DataFrame:
     return G.hits_with_chunks(hits, docs).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.octet_length("text").cast("long").alias("size"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(substr(text, 11, 60), '\\s+', ' ', 'g')) AS snippet FROM documents WHERE lang = 'en' AND length(text) = strlen(text)")
-def snippet_read(spark: SparkSession, d: str) -> DataFrame:
-    own = V.table(spark, d, "documents").where((F.col("lang") == "en") & (F.char_length("text") == F.octet_length("text")))
-    return own.select("doc_id", S.snippet(F.col("text"), F.lit(10), F.lit(70)).alias("snippet"))
+def _cut(text: str, start: str, stop: str) -> str:
+    """SQL for the bytes start to stop of a text as a string: the bytes of a character that an edge cuts
+    are replacement marks, one for each at the start and one for all at the end."""
+    piece = f"CASE WHEN e <= {start} OR s >= {stop} THEN '' WHEN s < {start} THEN repeat(chr(65533), CAST(least(e, {stop}) - ({start}) AS BIGINT)) WHEN e > {stop} THEN chr(65533) ELSE c END"
+    chars = f"SELECT k, substr({text}, k, 1) AS c, strlen(substr({text}, 1, k - 1)) AS s, strlen(substr({text}, 1, k)) AS e FROM (SELECT unnest(range(1, length({text}) + 1)) AS k)"
+    return f"coalesce((SELECT string_agg({piece}, '' ORDER BY k) FROM ({chars}) ch), '')"
 
 
-@query()
-def snippet_read_all(spark: SparkSession, d: str) -> DataFrame:
-    """Snippets of all texts: bytes 10 to 70, also where an edge lies inside a character."""
+@query(f"SELECT doc_id, trim(regexp_replace(cut, '[\\s\\p{{Z}}\\x{{85}}]+', ' ', 'g')) AS snippet FROM (SELECT doc_id, {_cut('t', '10', '70')} AS cut FROM (SELECT doc_id, substr(text, 1, 70) AS t FROM documents))")
+def snippet_read(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes 10 to 70 of every text, also where an edge lies inside a character."""
     return V.table(spark, d, "documents").select("doc_id", S.snippet(F.col("text"), F.lit(10), F.lit(70)).alias("snippet"))
 
 
@@ -138,15 +142,16 @@ def token_estimate(spark: SparkSession, d: str) -> DataFrame:
     return V.table(spark, d, "documents").select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN strlen(text) > 160 THEN substr(text, 1, 112) || chr(10) || chr(10) || '[...truncated...]' || chr(10) || chr(10) || right(text, 48) ELSE text END AS text FROM conversations WHERE strlen(text) = length(text)")
-def condense_text(spark: SparkSession, d: str) -> DataFrame:
-    c = V.table(spark, d, "conversations").where(F.octet_length("text") == F.char_length("text"))
-    return c.select("conv_id", "turn", X.condensed(F.col("text"), 40).alias("text"))
+_MARK = "chr(10) || chr(10) || '[...truncated...]' || chr(10) || chr(10)"
 
 
-@query()
-def condense_text_all(spark: SparkSession, d: str) -> DataFrame:
-    """All turns condensed by bytes: the text with cut characters replaced, and the digest of the bytes."""
+@query(
+    f"SELECT conv_id, turn, CASE WHEN n > 160 THEN {_cut('head', '0', '112')} || {_MARK} || {_cut('tail', 'strlen(tail) - 48', 'strlen(tail)')} ELSE text END AS text, "
+    f"sha256(CASE WHEN n > 160 THEN array_slice(encode(text), 1, 112) || encode({_MARK}) || array_slice(encode(text), n - 47, n) ELSE encode(text) END) AS bytes_sha256 "
+    "FROM (SELECT conv_id, turn, text, strlen(text) AS n, substr(text, 1, 112) AS head, right(text, 48) AS tail FROM conversations)"
+)
+def condense_text(spark: SparkSession, d: str) -> DataFrame:
+    """Every turn condensed by bytes: the text with cut characters replaced, and the digest of the bytes."""
     cut = X.condensed(F.col("text"), 40)
     return V.table(spark, d, "conversations").select("conv_id", "turn", F.make_valid_utf8(cut).alias("text"), X.content_hash(cut).alias("bytes_sha256"))
 
@@ -210,18 +215,15 @@ def classify_files(spark: SparkSession, d: str) -> DataFrame:
     return f.select("doc_id", "p.kind", "p.language", C.decide(F.col("p.kind"), F.col("size")).alias("x")).select("doc_id", "kind", "language", "x.mode", "x.reason")
 
 
-@query("SELECT page_id, 'text/html' AS mime, 'document' AS kind, true AS likely_text FROM pages")
+@query("""
+    WITH p AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN html WHEN 1 THEN chr(10) || ' <?xml version="1.0"?>' || html WHEN 2 THEN 'plain ' || html WHEN 3 THEN 'x' || chr(1) || html ELSE substr(html, 1, 300) || repeat('aé', 1400) END AS t FROM pages)
+    SELECT page_id, (['text/html', 'text/xml', 'text/plain', 'application/octet-stream', 'text/html'])[CAST(page_id % 5 AS INT) + 1] AS mime, (['document', 'structured', 'text', 'binary', 'document'])[CAST(page_id % 5 AS INT) + 1] AS kind,
+           try(decode(array_slice(encode(t), 1, 4096))) IS NOT NULL AS likely_text FROM p""")
 def classify_pages(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.col("html").cast("binary")
-    mime = C.mime_type(F.concat(F.lit("/p"), F.col("page_id").cast("string")), F.substring(raw, 1, C.PEEK))
-    # a page whose peek ends inside a character is no text by the rule; the peek here is cut at ASCII
-    return V.table(spark, d, "pages").select("page_id", mime.alias("mime"), C.kind_of(mime).alias("kind"), C.likely_text(F.substring(raw, 1, 40)).alias("likely_text"))
-
-
-@query()
-def classify_pages_all(spark: SparkSession, d: str) -> DataFrame:
-    """Pages by their whole peek: one that ends inside a character is no text by the rule."""
-    peek = F.substring(F.col("html").cast("binary"), 1, C.PEEK)
+    """Pages, and texts of other types made of them, by their content: a peek that ends inside a character is no text."""
+    k, html = F.col("page_id") % 5, F.col("html")
+    made = F.when(k == 0, html).when(k == 1, F.concat(F.lit('\n <?xml version="1.0"?>'), html)).when(k == 2, F.concat(F.lit("plain "), html)).when(k == 3, F.concat(F.lit("x\x01"), html)).otherwise(F.concat(F.substring(html, 1, 300), F.lit("aé" * 1400)))
+    peek = F.substring(made.cast("binary"), 1, C.PEEK)
     mime = C.mime_type(F.concat(F.lit("/p"), F.col("page_id").cast("string")), peek)
     return V.table(spark, d, "pages").select("page_id", mime.alias("mime"), C.kind_of(mime).alias("kind"), C.likely_text(peek).alias("likely_text"))
 
@@ -420,13 +422,17 @@ def cache_stats(spark: SparkSession, d: str) -> DataFrame:
     return K.stats(V.table(spark, d, "conversations"), "text")
 
 
-@query(with_(V.FILES_SQL, body="SELECT path || '|' || regexp_extract(path, '[^/]*$') || '|' || ext || '|' || CASE ext WHEN '.py' THEN 'py' WHEN '.md' THEN 'md' WHEN '.json' THEN 'json' WHEN '.html' THEN 'html' WHEN '.csv' THEN 'csv' WHEN '.sql' THEN 'x-sql' WHEN '.pdf' THEN 'pdf' WHEN '.png' THEN 'png' WHEN '.zip' THEN 'zip' WHEN '.txt' THEN 'txt' ELSE 'bin' END || '|' || CASE ext WHEN '.py' THEN 'python' WHEN '.sql' THEN 'sql' ELSE '' END || '|' || size || '|' || replace(replace(CASE WHEN strlen(text) > 100 THEN substr(text, 1, 97) || '...' ELSE text END, '|', '\\|'), chr(10), '\\n') AS line FROM files WHERE strlen(substr(text, 1, 100)) = length(substr(text, 1, 100))"))
-def export_toon_rows(spark: SparkSession, d: str) -> DataFrame:
-    return _toon_rows(V.files(spark, d).where(F.octet_length(F.substring("text", 1, 100)) == F.char_length(F.substring("text", 1, 100))))
+_HEAD = "path || '|' || regexp_extract(path, '[^/]*$') || '|' || ext || '|' || CASE ext WHEN '.py' THEN 'py' WHEN '.md' THEN 'md' WHEN '.json' THEN 'json' WHEN '.html' THEN 'html' WHEN '.csv' THEN 'csv' WHEN '.sql' THEN 'x-sql' WHEN '.pdf' THEN 'pdf' WHEN '.png' THEN 'png' WHEN '.zip' THEN 'zip' WHEN '.txt' THEN 'txt' ELSE 'bin' END || '|' || CASE ext WHEN '.py' THEN 'python' WHEN '.sql' THEN 'sql' ELSE '' END || '|' || size || '|'"
+_SAFE = "replace(replace(replace({}, '|', '\\|'), chr(10), '\\n'), chr(13), '')"
 
 
-@query()
-def export_toon_rows_all(spark: SparkSession, d: str) -> DataFrame:
+@query(with_(
+    V.FILES_SQL, f"h AS (SELECT {_HEAD} AS head, text, substr(text, 1, 97) AS t, strlen(text) > 100 AS long FROM files)",
+    "w AS (SELECT *, (SELECT coalesce(max(k), 0) FROM (SELECT unnest(range(1, length(t) + 1)) AS k) WHERE strlen(substr(t, 1, k)) <= 97) AS whole FROM h)",
+    body=f"SELECT head || CASE WHEN long THEN {_SAFE.format(_cut('t', '0', '97'))} || '...' ELSE {_SAFE.format('text')} END AS line, "
+    f"sha256(encode(head) || CASE WHEN long THEN encode({_SAFE.format('substr(t, 1, whole)')}) || array_slice(encode(t), strlen(substr(t, 1, whole)) + 1, 97) || encode('...') ELSE encode({_SAFE.format('text')}) END) AS bytes_sha256 FROM w",
+))
+def export_toon_rows(spark: SparkSession, d: str) -> DataFrame:
     """The rows of all files: the line with cut characters replaced, and the digest of its bytes."""
     return _toon_rows(V.files(spark, d)).select(F.make_valid_utf8("line").alias("line"), X.content_hash(F.col("line")).alias("bytes_sha256"))
 
@@ -467,7 +473,7 @@ def coalesce_events(spark: SparkSession, d: str) -> DataFrame:
     return coalesce_batch(V.changes(spark, d), 2 * hour, 8 * hour).select("path", "type", "due")
 
 
-# --- chunking, providers: no SQL says these
+# --- chunking and providers; chunkers of single formats are in plans.formats
 
 
 def _chunks(spark: SparkSession, d: str, ext: str) -> DataFrame:
@@ -484,8 +490,13 @@ def _chunk_query(name: str, ext: str) -> None:
     QUERIES[name] = run
 
 
-for _name, _ext in (("chunk_markdown", ".md"), ("chunk_recursive", ".txt"), ("chunk_code", ".py"), ("chunk_structured", ".json"), ("chunk_csv", ".csv"), ("chunk_log", ".log"), ("chunk_sql", ".sql"), ("chunk_pdf", ".pdf")):
+for _name, _ext in (("chunk_markdown", ".md"), ("chunk_recursive", ".txt")):
     _chunk_query(_name, _ext)
+for _format in formats.FORMATS:
+    QUERIES[_format.name] = functools.partial(formats.run, _format)
+    ORACLE_SQL[_format.name] = formats.oracle(_format)
+QUERIES |= services.QUERIES
+ORACLE_SQL |= services.ORACLE_SQL
 
 
 @query()
@@ -494,12 +505,6 @@ def chunk_fallback(spark: SparkSession, d: str) -> DataFrame:
     return chunk_files(f).select("file_path", "chunker", "index", "start_offset", "end_offset", "token_estimate", "content_hash")
 
 
-@query("SELECT page_id, 2 AS chunks FROM pages WHERE false")
-def chunk_html_empty(spark: SparkSession, d: str) -> DataFrame:
-    p = V.table(spark, d, "pages").where("html = ''").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("content"), F.lit("text/html").alias("mime_type"), F.lit("").alias("language"))
-    return chunk_files(p).groupBy(F.col("file_path").cast("long").alias("page_id")).agg(F.count(F.lit(1)).cast("int").alias("chunks"))
-
-
 @query()
 def chunk_html(spark: SparkSession, d: str) -> DataFrame:
     p = V.table(spark, d, "pages").select(F.concat(F.lit("/p/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("content"), F.lit("text/html").alias("mime_type"), F.lit("").alias("language"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -30,6 +31,17 @@ def ship_package(spark: SparkSession) -> None:
     sc._corpusgraph_shipped = True
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, under spark.checkpoint.dir; in local mode, where that
+    may be unset, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="corpusgraph-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def bound_batches(spark: SparkSession, most: str = "8m") -> None:
     """Bounds what goes to Python at once, for sessions that run the named queries: whole texts are
     held several times while they are worked on. A bound that the session already sets stays."""

@@ -136,6 +136,23 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+#: Which resources change with an event: {path} stands for the event's file.
+TOPICS = {"analysis_complete": ("file/{path}", "index"), "rebuild_complete": ("index",)}
+
+
+def notifications(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """(subscriber, topic, event_id): who is to be told of which events (event_id, type, path).
+
+    A subscription (subscriber, topic) is to a file, `file/<path>`, or to the index. Events of other
+    types tell nobody. On a stream this is a join with a table of subscriptions.
+    """
+    topics = F.lit(None).cast("array<string>")
+    for kind, names in TOPICS.items():
+        own = F.array(*[F.concat(F.lit(n.split("{")[0]), F.col("path")) if "{" in n else F.lit(n) for n in names])
+        topics = F.when(F.col("type") == kind, own).otherwise(topics)
+    return events.select("event_id", F.explode(topics).alias("topic")).join(subscriptions.select("subscriber", "topic"), "topic").select("subscriber", "topic", "event_id")
+
+
 def notify(stream: DataFrame, subscribers: list, checkpoint: str, trigger: dict | None = None):
     """Hands each micro-batch to every subscriber, called with (frame, batch id); one that fails
     doesn't keep the others from being called, and fails the batch afterwards."""
