@@ -76,8 +76,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-#: SQL for the operators that it can express. Tokenisers (7, 8, 10), the parser's events (3), the
-#: spans of the bootstrap (5) and of the ownership counts (2) are tested against brute force.
+def _places(name: str, kind: int, pattern: str, value: str, test: str) -> str:
+    """SQL for the matches of a pattern: the gaps between them give their places."""
+    length = lambda part: f"coalesce(list_sum(list_transform({part}, lambda x: length(x))), 0)"
+    return (
+        f"SELECT doc_id, source, {length('g[1:i]')} + {length('m[1:i - 1]')} AS a, {kind} AS kind, '{name}' AS name, {length('g[1:i]')} + {length('m[1:i]')} AS b, {value} AS v "
+        f"FROM (SELECT doc_id, source, g, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, source, regexp_split_to_array(t, '{pattern}') AS g, regexp_extract_all(t, '{pattern}') AS m FROM d)) WHERE {test}"
+    )
+
+
+_ASSIGN = "(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"'']?\\x20*[:=]\\x20*[\"'']?"
+_VALUE = f"regexp_extract(m[i], '^{_ASSIGN}(.*)$', 1)"
+
+#: SQL for the operators that it can express. Tokenisers (7, 8, 10), the parser's events (3) and the
+#: spans of the bootstrap (5) are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_segments": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
@@ -86,6 +98,24 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN m IS NOT NULL AND page_id IS DISTINCT FROM m THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN page_id IS DISTINCT FROM m THEN m END AS refers_to
         FROM p LEFT JOIN g ON p.d = g.d""",
+    "op2_secret_ownership": f"""
+        WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+        base AS ({_places("assign", 0, _ASSIGN + "[A-Za-z0-9+/_.=-]+", _VALUE, f"length({_VALUE}) >= 6")}
+                 UNION ALL {_places("access", 1, "AKIA[A-Z0-9]{16,}", "m[i]", "true")}
+                 UNION ALL {_places("hex", 2, "[0-9a-f]{24,}", "m[i]", "true")}),
+        mixed AS (SELECT * FROM ({_places("random", 3, "[A-Za-z0-9+/_=-]{24,}", "m[i]", "regexp_matches(m[i], '[0-9]') AND regexp_matches(m[i], '[a-z]') AND regexp_matches(m[i], '[A-Z]')")}) r
+                  WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = r.doc_id AND base.a < r.b AND base.b > r.a)
+                  AND (SELECT -sum(c / n * log2(c / n)) FROM (SELECT count(*) AS c, length(r.v) AS n FROM (SELECT unnest(string_split(r.v, '')) AS x) GROUP BY x)) >= 3.5),
+        spans AS (SELECT * FROM base UNION ALL SELECT * FROM mixed),
+        owned AS (SELECT v, count(DISTINCT coalesce(split_part(source, '/', 1), chr(1))) AS n_owners, count(DISTINCT coalesce(source, chr(1))) AS n_repos FROM spans GROUP BY v),
+        judged AS (SELECT spans.*, n_owners, n_repos, n_owners >= 4 OR n_repos >= 8 AS example, n_owners <= 2 AND n_repos < 8 AS live FROM spans JOIN owned USING (v)),
+        told AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 3) AS n_random,
+                        string_agg(name || ':' || a || ':' || b, ',' ORDER BY a, kind) FILTER (kind < 3) AS base, string_agg(name || ':' || a || ':' || b, ',' ORDER BY a, kind) AS spans,
+                        count(*) FILTER (live) AS n_live, count(*) FILTER (example) AS n_example, max(n_owners) AS most_owners, max(n_repos) AS most_repos
+                 FROM judged WHERE kind < 3 OR live GROUP BY doc_id)
+        SELECT documents.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_random, 0) AS n_random, sha256(coalesce(base, '')) AS base_sha256,
+               coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(most_owners, 0) AS most_owners, coalesce(most_repos, 0) AS most_repos
+        FROM documents LEFT JOIN told USING (doc_id)""",
     "op4_minhash_near_dup": f"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
         s AS (SELECT DISTINCT doc_id, array_to_string(ws[k : k + 3], ' ') AS g

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgraph.llm.bpe import token_counts
-from corpusgraph.llm.common import Workspace
+from corpusgraph.llm.common import BROADCAST_ROWS, Workspace
 
 #: Lengths in one block of the running sums.
 BLOCK = 1024
@@ -61,8 +61,11 @@ def answer(report: DataFrame, limits: list[int], quantiles: list[float]) -> Data
     """(question, argument, value): total and truncated tokens for any limits, lengths at quantiles.
 
     The length at quantile q is the least one that a share of at least q of the documents doesn't exceed.
+    The arguments are broadcast, so there may be BROADCAST_ROWS of each at most; more raise ValueError.
     """
     spark = report.sparkSession
+    if max(len(limits), len(quantiles)) > BROADCAST_ROWS:
+        raise ValueError(f"more than {BROADCAST_ROWS} arguments")
     asked = spark.createDataFrame([(int(x),) for x in limits] or [(0,)], "context long")
     below = report.join(F.broadcast(asked), F.col("n_tokens") <= F.col("context")).groupBy("context").agg(F.max_by(F.struct("n_tokens", "docs_over", "truncated_tokens"), "n_tokens").alias("h"))
     # a limit below every length cuts all documents
