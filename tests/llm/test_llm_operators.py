@@ -331,6 +331,8 @@ def test_length_report_against_brute_force(spark, library):
         x = r.n_tokens
         assert r.n_docs == lens.count(x) and r.docs_up_to == sum(n <= x for n in lens) and r.docs_over == sum(n > x for n in lens)
         assert r.tokens_over == sum(n for n in lens if n > x) and r.total_tokens == sum(lens) and r.truncated_tokens == sum(min(n, x) for n in lens)
+    with pytest.raises(ValueError):
+        token_lengths.answer(report, list(range(200_001)), [])
     limits, quantiles = [0, 3, 31, 10_000], [0.1, 0.5, 1.0]
     got = {(r.question, r.argument): r.value for r in token_lengths.answer(report, limits, quantiles).collect()}
     assert all(got["truncated_tokens", float(m)] == sum(min(n, m) for n in lens) for m in limits)
@@ -407,6 +409,16 @@ def test_quality_judges_short_texts_and_both_sides(spark):
     assert all(not got[k].base_failed and not got[k].kept and got[k].n_pieces < 64 for k in (200, 201))
 
 
+def test_bands_of_byte_tokens_are_the_corpus_own(spark):
+    rng = random.Random(15)
+    words = "the quick brown fox jumps over a lazy dog while seven old men watch from their garden wall".split()
+    prose = lambda n: [rng.choice(words) for _ in range(n)]
+    rows = [(k, " ".join(prose(150))) for k in range(60)] + [(100, " ".join(x if k % 6 else chr(0x1D518 + k % 20) for k, x in enumerate(prose(150))))]
+    out = quality.quality(docs(spark, rows), ["doc_id"], bands=quality.Bands(deviations=1e9, bits_deviations=1e9))
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[100].byte_share > 0.1 and not got[100].kept and all(got[k].kept for k in range(60) if not got[k].base_failed)
+
+
 # --- secrets
 
 

@@ -14,6 +14,48 @@ def test_query_agrees_with_sql(spark, sf, duck, name):
     same_rows(queries.QUERIES[name](spark, sf), duck, queries.ORACLE_SQL[name])
 
 
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_queries_without_sql_against_brute_force(spark, sf):
+    """op3, op5, op7, op8 and op10 over the whole tables."""
+    import html
+    import re
+
+    from test_llm_operators import brute_personal, brute_quality
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    rows = lambda name, key="doc_id": {r[key]: r for r in queries.QUERIES[name](spark, sf).collect()}
+    got = rows("op3_html_text_ratio", "page_id")
+    assert set(got) == set(pages)
+    for i, h in pages.items():
+        article = re.search(r"<article>(.*?)(?:</article>|$)", h, re.S)[1]
+        blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", " ", p)).split()) for p in re.split(r"</?(?:p|h1)>", article))
+        assert got[i].text == "\n".join(filter(None, blocks))
+    got = rows("op5_pii_bootstrap")
+    assert set(got) == set(docs)
+    for i, t in docs.items():
+        base = brute_personal(t)
+        assert (got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone) == tuple(sum(x[1] == k for x in base) for k in range(4))
+        joined = [f"{('email', 'ip', 'card', 'phone')[k]}:{a}:{b}" for a, k, b in base]
+        assert got[i].base_sha256 == sha(",".join(joined)) and set(joined) <= set(filter(None, got[i].spans.split(",")))
+    got = rows("op10_token_fertility")
+    for i, t in docs.items():
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute_quality(t)
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(bpe.vocabulary_path("byte_bpe_50k.json"))
+    got, lengths = rows("op8_bpe_trie"), []
+    for i, t in docs.items():
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        lengths.append(len(ids))
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))
+    got = rows("op7_token_length_histogram", "n_tokens")
+    assert {n: r.n_docs for n, r in got.items()} == {n: lengths.count(n) for n in set(lengths)}
+    assert all(r.truncated_tokens == sum(min(x, n) for x in lengths) for n, r in got.items())
+
+
 def test_all_ten_are_registered():
     import __spark_entry__ as e
 
