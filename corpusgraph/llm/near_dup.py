@@ -11,10 +11,10 @@
    did not show. All members outside its largest component are compared with all members of
    other components, in blocks of bounded size, so no candidate link is lost and no group meets
    in one task. Only links that join two components of a block leave it.
-5. A bucket too large for one block is first split by prefixes: of two sets that are similar
+5. Buckets that would take more than a fixed number of blocks are first split by prefixes: of two sets that are similar
    enough, the smaller has one of its rarest shingles among the rarest of the larger. Members
    meet only where such a shingle is shared, so texts on one template, which share the common
-   part and little else, are not compared with each other.
+   part and little else, are not compared with each other. A set in many such buckets is split once.
 """
 
 from __future__ import annotations
@@ -211,30 +211,30 @@ def shingle_counts(sets: DataFrame, cells: int) -> np.ndarray:
 
 
 def by_prefixes(members: DataFrame, sets: DataFrame, percent: int, cells: int, work: Workspace) -> DataFrame:
-    """members (key, set_id, comp, n_shingles) of large buckets with the finer keys at which they meet;
-    `first` is whether the shingle is in the shorter prefix, one of which every pair must have."""
-    own = work.save(join_small(sets, (ids := members.select("set_id").distinct()), "set_id", "left_semi", ids.count()), "large")
+    """members (set_id, comp, n_shingles) of large buckets with the keys at which they meet, one for each
+    shingle of their longer prefix; `first` is whether it is in the shorter one, as it must be for one
+    of every pair. A set in many large buckets stands here once."""
+    own = work.save(join_small(sets, members.select("set_id"), "set_id", "left_semi", members.count()), "large")
     counts = members.sparkSession.sparkContext.broadcast(shingle_counts(own, cells))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, flags, at = [], [], []
-            for k, (x, key) in enumerate(zip(batch.column(4), batch.column(0).to_numpy(), strict=True)):
+            for k, x in enumerate(batch.column(3)):
                 s = np.frombuffer(x.as_buffer(), np.uint64)
                 probe, index = prefix_sizes(len(s), percent)
                 order = np.lexsort((s, counts.value[(s % U(cells)).astype(np.int64)]))[:probe]
-                with np.errstate(over="ignore"):
-                    keys.append(w.mix(s[order] ^ w.mix(np.full(1, key, np.int64).view(np.uint64))).view(np.int64))
+                keys.append(s[order].view(np.int64))
                 flags.append(np.arange(probe) < index)
                 at.append(np.full(probe, k))
             if at:
                 out = batch.take(pa.array(np.concatenate(at)))
-                yield pa.record_batch([pa.array(np.concatenate(keys)), *(out.column(k) for k in (1, 2, 3)), pa.array(np.concatenate(flags))], ["key", "set_id", "comp", "n_shingles", "first"])
+                yield pa.record_batch([pa.array(np.concatenate(keys)), *(out.column(k) for k in range(3)), pa.array(np.concatenate(flags))], ["key", "set_id", "comp", "n_shingles", "first"])
 
-    return members.select("key", "set_id", "comp", "n_shingles").join(own, "set_id").select("key", "set_id", "comp", "n_shingles", "shingles").mapInArrow(run, "key long, set_id binary, comp binary, n_shingles long, first boolean")
+    return members.join(own, "set_id").select("set_id", "comp", "n_shingles", "shingles").mapInArrow(run, "key long, set_id binary, comp binary, n_shingles long, first boolean")
 
 
-def residual_links(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, block_shingles: int, block_rows: int, cells: int, work: Workspace) -> DataFrame | None:
+def residual_links(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, block_shingles: int, block_rows: int, most_blocks: int, cells: int, work: Workspace) -> DataFrame | None:
     """Links between components inside the buckets: (u, v), or None if no bucket has two components."""
 
     def split(placed: DataFrame) -> DataFrame:
@@ -251,11 +251,12 @@ def residual_links(members: DataFrame, comps: DataFrame, sets: DataFrame, percen
     if not n_parts:
         return None
     shared = join_small(placed, parts, "key", "inner", n_parts)
-    large = parts.where("mb > 1")
+    large = parts.where(F.col("mb") * F.col("rb") > most_blocks)
     if n_large := large.count():
-        finer = work.save(by_prefixes(join_small(placed, large, "key", "left_semi", n_large), sets, percent, cells, work), "finer")
+        crowd = join_small(placed, large, "key", "left_semi", n_large).select("set_id", "comp", "n_shingles").distinct()
+        finer = work.save(by_prefixes(work.save(crowd, "crowd"), sets, percent, cells, work), "finer")
         finer_parts = work.save(split(finer), "finer-split")
-        shared = shared.where("mb = 1").unionByName(join_small(finer, finer_parts, "key", "inner", finer_parts.count()))
+        shared = shared.where(F.col("mb") * F.col("rb") <= most_blocks).unionByName(join_small(finer, finer_parts, "key", "inner", finer_parts.count()))
     salt = F.xxhash64("set_id", "key")
     blocks = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     right = shared.select("key", "set_id", "comp", "first", F.pmod(salt, F.col("mb")).cast("int").alias("mblock"), blocks("rb").alias("rblock"), F.lit(False).alias("rest"))
@@ -279,7 +280,7 @@ def residual_links(members: DataFrame, comps: DataFrame, sets: DataFrame, percen
     return dealt.select("key", "mblock", "rblock", "set_id", "comp", "first", "rest", "shingles").groupBy("key", "mblock", "rblock").applyInArrow(run, "u binary, v binary").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, shingle: int = 5, percent: int = 80, bands: int = 32, per_band: int = 4, seed: int = 7, block_shingles: int = 400_000, block_rows: int = 1000, cells: int = 1 << 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, shingle: int = 5, percent: int = 80, bands: int = 32, per_band: int = 4, seed: int = 7, block_shingles: int = 400_000, block_rows: int = 1000, most_blocks: int = 64, cells: int = 1 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and component for each row of docs, with `keep` columns.
 
     Two texts are linked if 100 * intersection >= percent * union of their distinct word-shingle
@@ -313,7 +314,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = work.save(full_sets(docs, id_col, text_col, wanted, wanted.count(), shingle), "sets")
     links = work.save(confirm(stars, sets, percent), "links")
     comps = work.save(connected_components(links, work, "first"), "comps")
-    more = residual_links(members, comps, sets, percent, block_shingles, block_rows, cells, work)
+    more = residual_links(members, comps, sets, percent, block_shingles, block_rows, most_blocks, cells, work)
     if more is not None:
         more = work.save(more, "more")
         chain = comps.where("node != root").select(F.col("node").alias("u"), F.col("root").alias("v"))
@@ -323,7 +324,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = named.where("copies > 1 or root is not null").select("set_id", "doc_id", F.coalesce("root", "set_id").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = work.save(named.join(least, "root").select("set_id", F.col("root").alias("component"), "component_id"), "named")
-    work.drop("members", "sets", "stars", "placed", "split", "large", "finer", "finer-split", "links", "comps", "comps2", "more", "wanted", "buckets", "classes")
+    work.drop("members", "sets", "stars", "placed", "split", "large", "crowd", "finer", "finer-split", "links", "comps", "comps2", "more", "wanted", "buckets", "classes")
     out = join_small(plain, named, "set_id", "left", named.count())
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     own = ["doc_id", "n_shingles", "component_id", "kept", "component"]
