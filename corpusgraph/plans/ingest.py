@@ -161,11 +161,11 @@ def rebuild(spark: SparkSession, frames: dict[str, DataFrame], configs: dict[str
     return with_content(spark, found if full else L.changed(found, frames["state"])), out
 
 
-def rebuild_periodically(spark: SparkSession, run: Callable[[], object], every: str = "1 hour", checkpoint: str | None = None, once: bool = False):
-    """A query that calls run() at every interval, the first time at once: the schedule is Spark's own
-    trigger, over a source of one row a second. With once it ends after the first call."""
+def rebuild_periodically(spark: SparkSession, run: Callable[[], object], every: str = "1 hour", checkpoint: str | None = None):
+    """A query that calls run() at every interval: the schedule is Spark's own trigger, over a source of
+    one row a second, and ends with the query's stop()."""
     ticks = spark.readStream.format("rate").load()
-    out = ticks.writeStream.foreachBatch(lambda df, n: run()).trigger(**({"availableNow": True} if once else {"processingTime": every}))
+    out = ticks.writeStream.foreachBatch(lambda df, n: run()).trigger(processingTime=every)
     return (out.option("checkpointLocation", checkpoint) if checkpoint else out).start()
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,7 +57,7 @@ def with_content(spark: SparkSession, listing: DataFrame, most: int = LARGEST_RE
     if not paths:
         return large
     # names that look like globs are taken as they are
-    raw = spark.read.format("binaryFile").option("__globPaths__", False).load(paths)
+    raw = spark.read.format("binaryFile").load([re.sub(r"([*?\[\]{}\\])", r"\\\1", p) for p in paths])
     return raw.select(plain_path(F.col("path")).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mod_time"), "content").unionByName(large)
 
 
