@@ -137,10 +137,22 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of set ids whose full sets are similar enough."""
-    left = sets.select(F.col("set_id").alias("u"), F.col("shingles").alias("a"))
+#: Pairs of one set that meet its shingles in one place.
+HUB_PAIRS = 256
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int, work: Workspace) -> DataFrame:
+    """The pairs (u, v) of set ids whose full sets are similar enough.
+
+    A set with many pairs, such as the representative of a large bucket, is copied once for every
+    HUB_PAIRS of them, and its pairs are dealt over the copies.
+    """
+    hubs = work.save(pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).cast("int").alias("parts")).where("parts > 1"), "hubs")
+    n_hubs = hubs.count()
+    parts = F.coalesce("parts", F.lit(1))
+    left = join_small(sets.select(F.col("set_id").alias("u"), F.col("shingles").alias("a")), hubs, "u", "left", n_hubs).select("u", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "a")
     right = sets.select(F.col("set_id").alias("v"), F.col("shingles").alias("b"))
+    dealt = join_small(pairs, hubs, "u", "left", n_hubs).select("u", "v", F.pmod(F.xxhash64("v"), parts).cast("int").alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,7 +160,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             held = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(a, b, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(held, pa.bool_()))
 
-    return pairs.join(right, "v").join(left, "u").select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
+    return dealt.join(right, "v").join(left, ["u", "part"]).select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
 
 
 def block_links(left_ids: list, left: list[np.ndarray], left_comp: list, right_ids: list, right: list[np.ndarray], right_comp: list, percent: int) -> list[tuple]:
@@ -308,11 +320,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("who"), F.min_by("set_id", F.xxhash64("set_id", "key")).alias("rep")).where("n > 1")
     buckets = work.save(shared.groupBy("n", "who").agg(F.min_by(F.struct("key", "rep"), "key").alias("b")).select("b.key", "b.rep", "n"), "buckets")
     members = work.save(join_small(keyed, buckets, "key", "inner", buckets.count()), "members")
-    stars = work.save(members.where("rep != set_id").select(F.least("rep", "set_id").alias("u"), F.greatest("rep", "set_id").alias("v")).distinct(), "stars")
+    # from the representative: a set is at the far end of a pair at most once a band
+    stars = work.save(members.where("rep != set_id").select(F.col("rep").alias("u"), F.col("set_id").alias("v")).distinct(), "stars")
     ids = members.select("set_id").distinct()
     wanted = work.save(classes.select("set_id", "doc_id").join(ids, "set_id", "left_semi"), "wanted")
     sets = work.save(full_sets(docs, id_col, text_col, wanted, wanted.count(), shingle), "sets")
-    links = work.save(confirm(stars, sets, percent), "links")
+    links = work.save(confirm(stars, sets, percent, work), "links")
     comps = work.save(connected_components(links, work, "first"), "comps")
     more = residual_links(members, comps, sets, percent, block_shingles, block_rows, most_blocks, cells, work)
     if more is not None:
@@ -324,7 +337,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = named.where("copies > 1 or root is not null").select("set_id", "doc_id", F.coalesce("root", "set_id").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = work.save(named.join(least, "root").select("set_id", F.col("root").alias("component"), "component_id"), "named")
-    work.drop("members", "sets", "stars", "placed", "split", "large", "crowd", "finer", "finer-split", "links", "comps", "comps2", "more", "wanted", "buckets", "classes")
+    work.drop("members", "sets", "stars", "hubs", "placed", "split", "large", "crowd", "finer", "finer-split", "links", "comps", "comps2", "more", "wanted", "buckets", "classes")
     out = join_small(plain, named, "set_id", "left", named.count())
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     own = ["doc_id", "n_shingles", "component_id", "kept", "component"]
