@@ -140,6 +140,18 @@ def test_a_large_bucket_on_one_template(spark):
     assert sum(i != c for i, c in want) == 15
 
 
+def test_pairs_of_a_hub_are_dealt_over_its_copies(spark):
+    import numpy as np
+
+    sets = {k: np.arange(k % 30, 100 + k % 30, dtype=np.uint64) for k in range(700)}
+    name = lambda k: k.to_bytes(2, "big")
+    pairs = spark.createDataFrame([(name(0), name(k)) for k in range(1, 700)] + [(name(1), name(2))], "u binary, v binary")
+    frame = spark.createDataFrame([(name(k), x.tobytes()) for k, x in sets.items()], "set_id binary, shingles binary")
+    got = {(bytes(r.u), bytes(r.v)) for r in near_dup.confirm(pairs, frame, 80, Workspace(spark, "t")).collect()}
+    alike = lambda a, b: 100 * len(set(a) & set(b)) >= 80 * len(set(a) | set(b))
+    assert got == {(name(0), name(k)) for k in range(1, 700) if alike(sets[0], sets[k])} | {(name(1), name(2))}
+
+
 def test_prefixes_hold_a_common_shingle():
     rng = random.Random(13)
     for _ in range(2000):
