@@ -103,17 +103,25 @@ def unpacked(keep: list[str], own: list[str]) -> list[Column]:
 ROW_KEY = ["__file", "__place"]
 
 
+def _is_table(df: DataFrame) -> bool:
+    """Whether a frame is a table of files, perhaps with fewer rows and other columns, but no row twice."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.getClass().getSimpleName() == "LogicalRelation"
+
+
 def with_row_key(docs: DataFrame, work: Workspace) -> DataFrame:
     """docs and ROW_KEY: a key of each row that stays as it is whenever the table is read again.
 
     Rows of a Parquet table have one; any other frame is written first.
     """
     key = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place")]
-    try:
-        return docs.select(*[F.col(f"`{c}`") for c in docs.columns], *key)
-    except AnalysisException:
-        docs = work.save(docs, "rows")
-        return docs.select(*[F.col(f"`{c}`") for c in docs.columns], *key)
+    with contextlib.suppress(AnalysisException):  # tables of other formats have no row numbers
+        if _is_table(docs):
+            return docs.select(*[F.col(f"`{c}`") for c in docs.columns], *key)
+    docs = work.save(docs, "rows")
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], *key)
 
 
 def join_small(big: DataFrame, small: DataFrame, on: list[str] | str, how: str, small_rows: int) -> DataFrame:

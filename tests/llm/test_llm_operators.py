@@ -765,3 +765,15 @@ def test_markup_is_read_as_the_library_reads_it():
         one.close()
         two.feed(page)
         assert one.out == two.out, page
+
+
+def test_row_keys_tell_rows_apart(spark, sf):
+    from corpusgraph.llm.common import ROW_KEY, with_row_key
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    work = Workspace(spark, "keys")
+    for df in (docs, docs.where("doc_id % 2 = 0").select("doc_id"), docs.select("doc_id", F.explode(F.array(F.lit(1), F.lit(2)))), docs.select("doc_id").union(docs.select("doc_id")), docs.limit(7)):
+        keyed = with_row_key(df, work)
+        assert keyed.select(*ROW_KEY).distinct().count() == df.count() and keyed.columns == [*df.columns, *ROW_KEY]
+    plan = with_row_key(docs, work)._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" in plan
