@@ -164,7 +164,7 @@ class Segment:
         found = self.postings[k] - term * self.span
         return (found >= np.maximum(place - slack, 0)) & (found <= np.minimum(place + slack, self.span - 1))
 
-    def match(self, q: Queries, slack: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def match(self, q: Queries, slack: int, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(window, start, row, exact) of every proximity match, exact matches among them."""
         if not len(self.postings):
             return

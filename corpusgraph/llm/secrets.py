@@ -14,7 +14,6 @@ import math
 import re
 from collections import Counter
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -173,9 +172,10 @@ def mask_spans(text: str, spans: list[tuple[int, int]], mark: str) -> str:
 def masked(text: Column, spans: Column, mark: str) -> Column:
     """mask_spans of the rows that have spans; the others' texts don't go to Python."""
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else mask_spans(t, list(zip(a.tolist(), b.tolist(), strict=True)), mark) for t, a, b in zip(texts, starts, stops, strict=True)], dtype=object)
+    @F.arrow_udf("string")
+    def run(texts: pa.Array, starts: pa.Array, stops: pa.Array) -> pa.Array:
+        rows = zip(texts.to_pylist(), starts.to_pylist(), stops.to_pylist(), strict=True)
+        return pa.array([None if t is None else mask_spans(t, list(zip(a, b, strict=True)), mark) for t, a, b in rows], pa.string())
 
     own = F.when(spans.isNotNull(), text)
     return F.coalesce(run(own, F.transform(spans, lambda s: s["start"]), F.transform(spans, lambda s: s["stop"])), text)
