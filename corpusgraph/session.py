@@ -42,7 +42,7 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def bound_batches(spark: SparkSession, most: str = "8m") -> None:
+def bound_batches(spark: SparkSession, most: str = "4m") -> None:
     """Bounds what goes to Python at once, for sessions that run the named queries: whole texts are
     held several times while they are worked on. A bound that the session already sets stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
