@@ -528,7 +528,7 @@ def embed_offline(spark: SparkSession, d: str) -> DataFrame:
     r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS k, sum(n) OVER (PARTITION BY doc_id) AS total FROM n)
     SELECT doc_id, coalesce(string_agg(word, ',' ORDER BY k) FILTER (k <= 5), '') AS tags, coalesce(string_agg(word || ' ' || n || '/' || total, ',' ORDER BY k) FILTER (k <= 3), '') AS topics,
            least(10, 1 + length(any_value(text)) // 2000) AS complexity
-    FROM documents LEFT JOIN r USING (doc_id) GROUP BY doc_id""".replace("\\p", "\p"))
+    FROM documents LEFT JOIN r USING (doc_id) GROUP BY doc_id""")
 def analyze_offline(spark: SparkSession, d: str) -> DataFrame:
     out = analyze(V.table(spark, d, "documents").withColumn("n_words", F.size(F.regexp_extract_all("text", F.lit(r"\p{L}{5,}"), F.lit(0)))), ["doc_id", "n_words"], "text", KeywordSemantics())
     share = F.transform("topics", lambda t: F.concat(t["name"], F.lit(" "), F.round(t["confidence"] * F.col("n_words")).cast("long").cast("string"), F.lit("/"), F.col("n_words").cast("string")))
