@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -44,13 +46,19 @@ def resident(name: str, make: Callable[[], object]) -> object:
     Workers are used again by later stages; the next stage's object takes the place of the last.
     """
     if name not in _RESIDENT:
-        _RESIDENT.clear()
+        release()
         _RESIDENT[name] = make()
     return _RESIDENT[name]
 
 
 def release() -> None:
-    _RESIDENT.clear()
+    """Lets go of what is resident, and gives its memory back to the system, which others need next."""
+    if _RESIDENT:
+        _RESIDENT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # the C library of other systems may lack it
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 class Workspace:
