@@ -20,6 +20,10 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 #: Rows of a broadcast side at most; beyond it the same join runs as a shuffle join.
 BROADCAST_ROWS = 200_000
 
+#: For tables of long rows: Parquet looks at a page's and a row group's bytes only after 100 rows,
+#: and all of a row group is in memory where it is written and read, its pages in direct memory too.
+LONG_ROWS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1"}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset on one
@@ -72,8 +76,8 @@ class Workspace:
         if Workspace._open:
             Workspace._open[-1].append(self)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+    def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        df.write.mode("overwrite").options(**options).parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:

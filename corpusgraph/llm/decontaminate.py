@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType, _parse_datatype_string
 
 from corpusgraph.llm import words as w
-from corpusgraph.llm.common import BROADCAST_ROWS, Workspace, join_small, map_text, packed, row_blocks, unpacked, utf8_parts
+from corpusgraph.llm.common import BROADCAST_ROWS, LONG_ROWS, Workspace, join_small, map_text, packed, row_blocks, unpacked, utf8_parts
 
 RANGE = pa.struct([("a", pa.int64()), ("b", pa.int64())])
 MATCHES = "runs array<struct<a:long,b:long>>, items array<string>, n_near long, near_runs array<struct<a:long,b:long>>, near_items array<string>"
@@ -63,7 +63,7 @@ def build_index(docs: DataFrame, keep: list[str], text_col: str, work: Workspace
                 yield pa.RecordBatch.from_arrays([pa.array([segment]), one(rows), one(pa.array(terms)), one(pa.array(counts)), pa.array([positions.tobytes()], pa.binary())], names=["segment", "docs", "terms", "counts", "positions"])
                 segment += 1
 
-    return work.save(own.mapInArrow(run, schema), "index")
+    return work.save(own.mapInArrow(run, schema), "index", **LONG_ROWS)
 
 
 def term_counts(index: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:

@@ -275,6 +275,20 @@ def test_decontamination_against_brute_force(spark):
     assert [r.contaminated for r in none] == [False] * 3
 
 
+def test_index_has_small_row_groups(spark):
+    """Twelve segments of about 1.2 MB from one task; a reader holds a row group at once."""
+    import pyarrow.parquet as pq
+
+    words = F.transform(F.sequence(F.lit(1), F.lit(100_000)), lambda k: F.hash(k, "doc_id").cast("string"))
+    docs = spark.range(12).coalesce(1).select(F.col("id").alias("doc_id")).select("doc_id", F.array_join(words, " ").alias("text"))
+    work = Workspace(spark, "test")
+    index = decontaminate.build_index(docs, ["doc_id"], "text", work)
+    assert sorted(d.keep.doc_id for r in index.select("docs").collect() for d in r.docs) == list(range(12))
+    files = [pq.ParquetFile(f).metadata for f in Path(f"{work.path}/index".removeprefix("file:")).glob("*.parquet")]
+    sizes = [m.row_group(k).total_byte_size for m in files for k in range(m.num_row_groups)]
+    assert sum(sizes) > 12 << 20 and max(sizes) < 9 << 20
+
+
 def test_proximity(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     near = item.replace("gamma", "x gamma")

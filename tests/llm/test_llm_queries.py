@@ -148,3 +148,18 @@ def test_pipeline_leaves_only_its_result(spark, sf):
     assert out.count() > 0
     new = set(base.iterdir()) - before
     assert len(new) == 1 and [x.name for x in new.pop().iterdir()] == ["stage-4"]
+
+
+def test_stages_bound_their_batches(spark, sf):
+    """Each stage does when run alone, too, and not only below the named query."""
+    import corpus_pipeline as p
+
+    name, docs = "spark.sql.execution.arrow.maxBytesPerBatch", spark.read.parquet(f"{sf}/documents.parquet").limit(5)
+    before = spark.conf.get(name)
+    try:
+        for _, stage in p.STAGES:
+            spark.conf.set(name, "64m")
+            stage(spark, docs, sf)
+            assert spark.conf.get(name) == "4m"
+    finally:
+        spark.conf.set(name, before)
