@@ -53,9 +53,16 @@ def count_by(df: DataFrame, key: str) -> DataFrame:
 
 
 def _written(spark: SparkSession, d: str) -> str:
-    """The documents as text files in a folder per language."""
+    """The documents as text files in a folder per language, all of a size that a walk reads: lines are
+    dealt out by their bytes, a sixth of that size to a task on average, and those of more than a
+    hundredth of it are files of their own."""
     path = shared_folder(spark)
-    V.table(spark, d, "documents").select("lang", F.regexp_replace("text", "[\r\n]", " ").alias("value")).repartition(4).write.partitionBy("lang").text(path)
+    rows = V.table(spark, d, "documents").select("lang", F.regexp_replace("text", "[\r\n]", " ").alias("value"), (F.octet_length("text").cast("long") + 1).alias("n"))
+    long = F.coalesce(F.col("n"), F.lit(1)) > W.LARGEST_READ // 100
+    total, n_long = rows.agg(F.sum("n"), F.count_if(long)).first()
+    rows.where(~long).drop("n").repartition(max(4, -(-(total or 0) * 6 // W.LARGEST_READ))).write.partitionBy("lang").text(path)
+    if n_long:
+        rows.where(long).drop("n").write.mode("append").option("maxRecordsPerFile", 1).partitionBy("lang").text(path)
     return path
 
 
