@@ -8,7 +8,7 @@ from corpusgraph.plans import registry
 from corpusgraph.sources import files as W
 
 
-@pytest.mark.parametrize("name", ["walk_tree"])
+@pytest.mark.parametrize("name", ["walk_tree", "walk_changed_files"])
 def test_walks_read_all_of_many_and_of_long_documents(spark, tmp_path, monkeypatch, name):
     most = 32 << 10
     monkeypatch.setattr(W, "LARGEST_READ", most)
