@@ -20,7 +20,7 @@ from pyspark.sql.types import BinaryType
 
 from corpusgraph.operators.chunking import Options
 from corpusgraph.operators.chunking.udf import chunk_files
-from corpusgraph.plans.views import table
+from corpusgraph.plans.views import dealt, table
 
 #: The columns that templates may name, as Spark and DuckDB both say them.
 COLUMNS = {"key": "p_partkey", "name": "p_name", "word": "replace(p_name, ' ', '_')", "kind": "p_type", "size": "p_size", "pad": "lpad(CAST(p_partkey AS STRING), 9, '0')"}
@@ -89,8 +89,9 @@ def zipped(members: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series
 def run(f: Format, spark: SparkSession, sf_dir: str) -> DataFrame:
     text = column(f.whole)
     content = zipped(F.lit(f.member), text) if f.member else text.cast("binary")
-    files = table(spark, sf_dir, "part").select(column(f.path).alias("path"), content.alias("content"), F.lit(f.mime).alias("mime_type"), F.lit("").alias("language"))
-    out = chunk_files(files, f.options)
+    files = dealt(table(spark, sf_dir, "part")).select(column(f.path).alias("path"), content.alias("content"), F.lit(f.mime).alias("mime_type"), F.lit("").alias("language"))
+    plain = ["file_path", "chunker", "index", "chunk_type", "start_offset", "end_offset", "token_estimate", "content_hash", "warnings"]
+    out = chunk_files(files, f.options, columns={*plain, *(x.split(".")[0] for x in f.fields)})
 
     def value(name: str) -> Column:
         kind = out.schema[name.split(".")[0]].dataType[name.split(".")[1]].dataType.simpleString()

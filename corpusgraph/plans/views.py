@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, rows: int = 5000) -> DataFrame:
+    """A small table in a task per so many rows: where much is made of each row, tasks by its bytes are too few."""
+    n = -(-df.count() // rows)
+    return df.repartition(n) if n > 1 else df
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, path, source, lang, text, size, content_hash of each document as a file."""
     d = table(spark, sf_dir, "documents")
